@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import quality
+from factloom.llm import decontaminate, quality, substring
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.query,
+    "op9_substring_dedup": substring.query,
     "op10_quality_rules": quality.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op9_substring_dedup": substring.SQL,
+}
