@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontaminate, quality, substring
+from factloom.llm import bpe, decontaminate, quality, substring
 
 QUERIES = {
+    "op1_bpe": bpe.query,
     "op2_decontaminate": decontaminate.query,
     "op9_substring_dedup": substring.query,
     "op10_quality_rules": quality.query,
