@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, decontaminate, quality, substring
+from factloom.llm import bpe, decontaminate, language, quality, substring
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_decontaminate": decontaminate.query,
+    "op5_language": language.query,
     "op9_substring_dedup": substring.query,
     "op10_quality_rules": quality.query,
 }
 ORACLE = {
     "op2_decontaminate": decontaminate.SQL,
+    "op5_language": language.query,
     "op9_substring_dedup": substring.SQL,
 }
