@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, decontaminate, language, quality, substring, toxicity
+from factloom.llm import bpe, decontaminate, jaccard, language, quality, substring, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_decontaminate": decontaminate.query,
     "op5_language": language.query,
     "op6_toxicity": toxicity.query,
+    "op7_jaccard_join": jaccard.query,
     "op9_substring_dedup": substring.query,
     "op10_quality_rules": quality.query,
 }
 ORACLE = {
     "op2_decontaminate": decontaminate.SQL,
-    "op5_language": language.query,
-    "op6_toxicity": toxicity.query,
+    "op7_jaccard_join": jaccard.SQL,
     "op9_substring_dedup": substring.SQL,
 }
