@@ -6,9 +6,10 @@
    whose estimate is 1 stands in one place only and is dropped without loss.
 2. Exact: the windows estimated repeated, and only those, are shuffled by a 128-bit key of their words and grouped;
    in each group all but the smallest doc_id lose their words. Windows of cells with HOT or more entries are
-   aggregated on the map side and joined back instead, so a passage in a third of all rows isn't one task's work.
+   aggregated on the map side instead and their owners broadcast, up to BROADCAST_KEYS of them, or else joined back:
+   a passage in a third of all rows isn't one task's work.
 
-The sketch is broadcast: DEPTH + 1 bitmaps of 2**CELL_BITS bits, whatever the input. Where far more fingerprints than
+The sketch is broadcast: three bitmaps of 2**CELL_BITS bits, whatever the input. Where far more fingerprints than
 cells come in, it lets more windows through and the second pass does more; results are the same.
 """
 
@@ -18,24 +19,21 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from factloom.llm import sketch
 from factloom.llm import words as W
-from factloom.llm.shared import table
+from factloom.llm.shared import table, written
 
 WINDOW = 13
-GRAM = 4
+GRAM = 6
 CELL_BITS = 27
-DEPTH = 2
 HOT = 1000
-_BLOCK_BITS = 16
-
-
-def _cells(fp: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [((W.mix(fp, k + 1)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(DEPTH)]
+BROADCAST_KEYS = 500_000
 
 
 def _fingerprints(h: np.ndarray, window: int) -> np.ndarray:
@@ -57,96 +55,86 @@ def _windows(buf: np.ndarray, offs: np.ndarray, window: int):
     return start, end, first, h, at, row, _fingerprints(h, window)[at] if len(at) else np.empty(0, np.uint64)
 
 
-def _sketch(docs: DataFrame, window: int, bits: int) -> tuple[bytes, bytes]:
-    """Packed bits: cells of each depth with two or more entries, and cells of depth 0 with HOT or more."""
+def repeats(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> DataFrame:
+    """(doc_id, at): windows that a document with a smaller doc_id has too; at is 31 bits of the text's crc32 and the index of
+    the first word, in the high and low 32 bits."""
+    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    spark = docs.sparkSession
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        *_, row, fp = _windows(buf, offs, window)
+        return fp[np.append(True, (fp[1:] != fp[:-1]) | (row[1:] != row[:-1]))] if len(fp) else fp
 
-        def out() -> pa.RecordBatch:
-            cells = np.sort(np.concatenate(held))
-            block = cells >> _BLOCK_BITS
-            at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            low = (cells & ((1 << _BLOCK_BITS) - 1)).astype(np.uint16)
-            return pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int32)), pa.array([x.tobytes() for x in np.split(low, at[1:])], pa.binary())], ["block", "cells"])
+    counted = spark.sparkContext.broadcast(sketch.count(texts.select("text"), fingerprints, bits, HOT))
 
-        for batch in batches:
-            for _, _, buf, offs in W.slices(batch.column("text")):
-                *_, row, fp = _windows(buf, offs, window)
-                if not len(fp):
-                    continue
-                fp = fp[np.append(True, (fp[1:] != fp[:-1]) | (row[1:] != row[:-1]))]
-                for k, c in enumerate(_cells(fp, bits)):
-                    held.append(c + (k << bits))
-                    n += len(c)
-            if n > 4 << 20:
-                yield out()
-                held, n = [], 0
-        if n:
-            yield out()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = None, np.zeros(1 << _BLOCK_BITS, np.int64)
-
-        def out() -> pa.RecordBatch:
-            twice, hot = np.packbits(total >= 2).tobytes(), np.packbits(total >= HOT)
-            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "twice": pa.array([twice], pa.binary()), "hot": pa.array([hot.tobytes() if hot.any() else b""], pa.binary())})
+    def keys(buf, start, end, h, at) -> tuple[np.ndarray, np.ndarray]:
+        second = W.window_hashes(W.word_hashes(buf, start, end, 1), window, 1)
+        return W.window_hashes(h, window)[at].view(np.int64), second[at].view(np.int64)
 
+    def hot_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The smallest and the greatest doc_id of each hot window in the task."""
+        most, held = np.frombuffer(counted.value[1], np.uint8), pd.DataFrame()
         for batch in batches:
-            for b, cells in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                if b != block:
-                    if block is not None:
-                        yield out()
-                    block, total = b, np.zeros(1 << _BLOCK_BITS, np.int64)
-                total += np.bincount(np.frombuffer(cells, np.uint16), minlength=1 << _BLOCK_BITS)
-        if block is not None:
-            yield out()
-
-    parts = docs.mapInArrow(count, "block int, cells binary")
-    size = 1 << (_BLOCK_BITS - 3)
-    twice, hot = bytearray(DEPTH << (bits - 3)), bytearray(1 << (bits - 3))
-    for r in parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, twice binary, hot binary").toLocalIterator():
-        twice[r.block * size : (r.block + 1) * size] = r.twice
-        if r.hot and r.block << _BLOCK_BITS < 1 << bits:
-            hot[r.block * size : (r.block + 1) * size] = r.hot
-    return bytes(twice), bytes(hot)
-
-
-def _bit(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> DataFrame:
-    """(doc_id, at): windows that a document with a smaller doc_id has too; at is 31 bits of the text's crc32 and the index of
-    the first word, in the high and low 32 bits."""
-    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(texts.select("text"), window, bits))
-    row = "k1 long, k2 long, doc_id long, at long"
+            ids = batch.column("doc_id").to_numpy()
+            for r0, _, buf, offs in W.slices(batch.column("text")):
+                start, end, first, h, at, row, fp = _windows(buf, offs, window)
+                if (ok := sketch.is_hot(most, fp, bits)).any():
+                    k1, k2 = keys(buf, start, end, h, at[ok])
+                    d = ids[r0 + row[ok]]
+                    held = pd.concat([held, pd.DataFrame({"k1": k1, "k2": k2, "owner": d, "last": d})]).groupby(["k1", "k2"], as_index=False).agg({"owner": "min", "last": "max"})
+            if len(held) > 500_000:
+                yield pa.RecordBatch.from_pandas(held, preserve_index=False)
+                held = pd.DataFrame()
+        if len(held):
+            yield pa.RecordBatch.from_pandas(held, preserve_index=False)
+
+    row = "k1 long, k2 long, doc_id long, at long, done boolean"
+    owners, table_ = None, None
+    if counted.value[1].strip(b"\0"):
+        owners = written(texts.mapInArrow(hot_ones, "k1 long, k2 long, owner long, last long").groupBy("k1", "k2").agg(F.min("owner").alias("owner"), F.max("last").alias("last")), "owners")
+        if owners.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+            table_ = owners.toPandas().sort_values(["k1", "k2"])
+    apart = owners is not None and table_ is None
+    hot = spark.sparkContext.broadcast(None if table_ is None else tuple(table_[c].to_numpy() for c in ("k1", "k2", "owner", "last")))
+
+    def candidates(only_hot: bool):
+        """Windows estimated repeated. Those whose owner is known by broadcast come as done, if they are to go."""
 
-    def candidates(hot_ones: bool):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            twice, hot = (np.frombuffer(x, np.uint8) for x in sketch.value)
+            twice, most = (np.frombuffer(x, np.uint8) for x in counted.value)
             for batch in batches:
                 ids = batch.column("doc_id").to_numpy()
                 for r0, _, buf, offs in W.slices(batch.column("text")):
                     start, end, first, h, at, row, fp = _windows(buf, offs, window)
-                    cells = _cells(fp, bits)
-                    ok = (_bit(hot, cells[0])) == hot_ones
-                    for k, c in enumerate(cells):
-                        ok &= _bit(twice, c + (k << bits))
+                    ok = sketch.repeated(twice, fp, bits)
+                    warm = sketch.is_hot(most, fp, bits)
+                    if apart:
+                        ok &= warm == only_hot
                     if not ok.any():
                         continue
-                    at, row = at[ok], row[ok]
-                    second = W.window_hashes(W.word_hashes(buf, start, end, 1), window, 1)
+                    at, row, warm = at[ok], row[ok], warm[ok]
+                    k1, k2 = keys(buf, start, end, h, at)
+                    d = ids[r0 + row]
+                    done = np.zeros(len(at), bool)
+                    stay = np.ones(len(at), bool)
+                    if hot.value is not None:
+                        done = warm
+                        stay[warm] = d[warm] > _owner(hot.value, k1[warm], k2[warm])
                     data = buf.tobytes()
                     crc = np.array([zlib.crc32(data[offs[i] : offs[i + 1]]) >> 1 for i in range(len(offs) - 1)], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(W.window_hashes(h, window)[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(ids[r0 + row]), pa.array((crc[row] << 32) | (at - first[row]))], ["k1", "k2", "doc_id", "at"])
+                    where = (crc[row] << 32) | (at - first[row])
+                    k1 = np.where(done, W.mix(where.astype(np.uint64)).view(np.int64), k1)  # spread over the tasks
+                    yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (k1, k2, d, where, done)], ["k1", "k2", "doc_id", "at", "done"])
 
         return find
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, k2, owner = None, None, None
         for batch in batches:
+            done = batch.column("done").to_numpy(zero_copy_only=False)
+            if done.any():
+                yield batch.filter(batch.column("done")).select(["doc_id", "at"])
+                batch = batch.filter(pa.array(~done))
             a, b, d = (batch.column(c).to_numpy() for c in ("k1", "k2", "doc_id"))
             if not len(a):
                 continue
@@ -158,11 +146,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(d[take]), batch.column("at").filter(pa.array(take))], ["doc_id", "at"])
 
     cold = texts.mapInArrow(candidates(False), row).repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc_id").mapInArrow(later, "doc_id long, at long")
-    if not sketch.value[1].strip(b"\0"):
+    if not apart:
         return cold
-    hot = texts.mapInArrow(candidates(True), row)
-    owners = hot.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
-    return cold.unionByName(hot.join(owners, ["k1", "k2"]).filter("doc_id > owner").select("doc_id", "at"))
+    rest = texts.mapInArrow(candidates(True), row).join(owners.filter("owner < last"), ["k1", "k2"])
+    return cold.unionByName(rest.filter("doc_id > owner").select("doc_id", "at"))
+
+
+def _owner(hot: tuple[np.ndarray, ...], k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """The smallest doc_id of each hot window; every window asked for is in the table."""
+    keys = np.empty(len(hot[0]), [("a", np.int64), ("b", np.int64)])
+    keys["a"], keys["b"] = hot[0], hot[1]
+    ask = np.empty(len(k1), keys.dtype)
+    ask["a"], ask["b"] = k1, k2
+    lo = np.searchsorted(hot[0], k1)
+    same = keys[np.minimum(lo, len(keys) - 1)] == ask
+    if not same.all():  # first keys that are equal while second ones aren't
+        lo[~same] = np.searchsorted(keys, ask[~same])
+    return hot[2][lo]
 
 
 def apply(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> DataFrame:
