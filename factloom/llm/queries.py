@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, decontaminate, jaccard, language, quality, substring, toxicity
+from factloom.llm import bpe, decontaminate, jaccard, language, lm, quality, substring, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language": language.query,
     "op6_toxicity": toxicity.query,
     "op7_jaccard_join": jaccard.query,
+    "op8_lm_score": lm.query,
     "op9_substring_dedup": substring.query,
     "op10_quality_rules": quality.query,
 }
