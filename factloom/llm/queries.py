@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, decontaminate, jaccard, language, lm, pii, quality, substring, toxicity
+from factloom.llm import bpe, chat, decontaminate, jaccard, language, lm, pii, quality, substring, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_chat": chat.query,
     "op4_pii": pii.query,
     "op5_language": language.query,
     "op6_toxicity": toxicity.query,
