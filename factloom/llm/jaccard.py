@@ -8,10 +8,11 @@ level. Sets that reach the threshold share a token within the first n - ceil(t n
    that stand in one place only;
 2. in each token's bucket all classes are first held against one, the class with the fewest tokens of its own, so a
    group of near copies falls together without its pairs;
-3. what is left are pairs across components that share a bucket. Classes of buckets that still hold two components
-   are laid out in blocks of at most BLOCK classes, each pair of blocks that isn't within one component is a cell, and
-   a cell verifies the pairs that share a prefix token under all of the orders: no pair is lost, none is emitted but
-   links.
+3. what is left are pairs across components that share a bucket. Buckets of at most SMALL classes give their pairs;
+   a pair whose first common token stands too late for the overlap that it needs is dropped (positional filter). The
+   classes of larger buckets are laid out in blocks of at most BLOCK classes, each pair of blocks that isn't within one
+   component is a cell, and a cell verifies the pairs that share a prefix token under all of the orders: no pair is
+   lost, none is emitted but links.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ ORDERS = 3
 HISTOGRAM_BITS = 20
 CELL_BITS = 27
 BLOCK = 256
+SMALL = 64
 BROADCAST_IDS = 1_000_000
 
 
@@ -62,11 +64,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-    """The tokens of s that come first under an order."""
+    """The tokens of s that come first under an order, in that order."""
     level = levels[(W.mix(s, 99) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)]
     key = (level.astype(np.uint64) << np.uint64(58)) | (W.mix(s, 1000 + order) >> np.uint64(6))
     p = prefix_length(len(s), percent)
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    at = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+    return s[at[np.argsort(key[at])]]
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
@@ -193,23 +196,40 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                         seen.clear()
                     seen.add(key)
                     p = prefix(s, levels.value, 0, percent)
-                    kept = p[sketch.repeated(bits, p, CELL_BITS)]
-                    if len(kept):
-                        out.append((kept, key, len(s), 1 - len(kept) / len(p)))
+                    at = np.flatnonzero(sketch.repeated(bits, p, CELL_BITS))
+                    if len(at):
+                        out.append((p[at], key, len(s), 1 - len(at) / len(p), at))
                 if out:
                     times = [len(x[0]) for x in out]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), *(pa.array(np.repeat(np.array([x[1][k] for x in out], np.int64), times)) for k in (0, 1)), pa.array(np.repeat([x[2] for x in out], times).astype(np.int64)), pa.array(np.repeat([x[3] for x in out], times))],
-                        ["token", "k1", "k2", "n", "own"],
+                        [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), *(pa.array(np.repeat(np.array([x[1][k] for x in out], np.int64), times)) for k in (0, 1)), pa.array(np.repeat([x[2] for x in out], times).astype(np.int64)), pa.array(np.repeat([x[3] for x in out], times)), pa.array(np.concatenate([x[4] for x in out]).astype(np.int32))],
+                        ["token", "k1", "k2", "n", "own", "pos"],
                     )
 
-    rows = usable.select("text").mapInArrow(tokens, "token long, k1 long, k2 long, n long, own double").join(classes, ["k1", "k2"]).dropDuplicates(["token", "rep"]).select("token", "rep", "n", "own")
+    rows = usable.select("text").mapInArrow(tokens, "token long, k1 long, k2 long, n long, own double, pos int").join(classes, ["k1", "k2"]).dropDuplicates(["token", "rep"]).select("token", "rep", "n", "own", "pos")
     rows = written(rows, "prefixes")
 
     # one class of each bucket against all others of the bucket
-    first = rows.groupBy("token").agg(F.min(F.struct("own", "rep", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("token", F.col("l.rep").alias("a"), F.col("l.n").alias("na"))
-    pairs = written(rows.join(first, "token").filter(f"rep <> a AND 100 * least(n, na) >= {percent} * greatest(n, na)").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    sets = written(_payload(usable, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()), "sets")
+    first = rows.groupBy("token").agg(F.min(F.struct("own", "rep", "n", "pos")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("token", F.col("l.rep").alias("a"), F.col("l.n").alias("na"), F.col("l.pos").alias("ia"))
+    pairs = _positional(rows.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib")).join(first, "token").filter("a <> b"), percent)
+    links = written(_verified(usable, pairs, levels, percent), "links")
+    links = written(links.unionByName(_across(usable, rows, components(links), levels, percent)), "links")
+    found = components(links)
+    reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    return members.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def _positional(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows (a, b, na, nb, ia, ib), one for each common prefix token, whose sizes and whose first common
+    token's places leave room for the overlap that they need."""
+    fits = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+    return fits.filter(f"(100 + {percent}) * least(na - ia, nb - ib) >= {percent} * (na + nb)").select("a", "b")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, levels, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    pairs = written(pairs, "pairs")
+    sets = written(_payload(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,18 +237,22 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = written(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"), "links")
-    links = written(links.unionByName(_cells(usable, rows, components(links), levels, percent)), "links")
-    found = components(links)
-    reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    return members.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
-def _cells(docs: DataFrame, rows: DataFrame, found: DataFrame, levels, percent: int) -> DataFrame:
+def _across(docs: DataFrame, rows: DataFrame, found: DataFrame, levels, percent: int) -> DataFrame:
     """Links across the components found so far, from the buckets that hold more than one of them."""
-    rows = rows.join(found, F.col("rep") == F.col("id"), "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("one")).filter("lo < hi").select("token", "one")
+    rows = rows.join(found, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("one"), F.count("*").alias("c")).filter("lo < hi").select("token", "one", "c")
     rows = written(rows.join(mixed, "token"), "mixed")
+    few = rows.filter(F.col("c") <= SMALL)
+    side = lambda x: few.select("token", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"i{x}"), F.col("comp").alias(f"c{x}"))
+    pairs = _positional(side("a").join(side("b"), "token").filter("a < b AND ca <> cb"), percent)
+    return _verified(docs, pairs, levels, percent).unionByName(_cells(docs, rows.filter(F.col("c") > SMALL), levels, percent))
+
+
+def _cells(docs: DataFrame, rows: DataFrame, levels, percent: int) -> DataFrame:
+    """Links across components from large buckets; rows: (token, rep, comp, one), one a class of the bucket."""
     clusters = components(rows.select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct())
     inside = written(rows.select("rep", "comp").distinct().join(clusters, F.col("rep") == F.col("id")).select("rep", "comp", F.col("component").alias("cluster")), "clusters")
     sizes = inside.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
