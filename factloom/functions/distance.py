@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 
 def jaro_winkler(s: str, t: str, weight: float = 0.1, most: int = 4) -> int:
@@ -32,6 +33,6 @@ def jaro_winkler(s: str, t: str, weight: float = 0.1, most: int = 4) -> int:
     return int(100 - 100 * (jaro + start * weight * (1 - jaro)))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def jaro_winkler_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")

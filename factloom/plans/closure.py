@@ -21,7 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
         if not at and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(at or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+    return df.select(*(F.col(c).alias(c) for c in df.columns)).checkpoint()  # new attributes, for later unions
 
 
 def closure(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
