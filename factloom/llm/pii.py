@@ -99,7 +99,7 @@ def _date(m: str, key: str) -> str:
     made = _feistel("date", key, "n div 4297", "n % 4297", "17", "4297")
     day = "date_add(date'1900-01-01', cast(f.l * 4297 + f.r AS int))"
     iso = f"{m} rlike '^[0-9]{{4}}-'"
-    part = lambda k: f"lpad(regexp_extract({m}, '^([0-9]+)[./]([0-9]+)[./]([0-9]+)$', {k}), 2, '0')"
+    part = lambda k: f"lpad(regexp_extract({m}, '^([0-9]+)[./]([0-9]+)[./]([0-9]+)$', {k}), {4 if k == 3 else 2}, '0')"
     first = f"try_to_timestamp(concat({part(3)}, '-', {part(2)}, '-', {part(1)}), 'yyyy-MM-dd')"
     second = f"try_to_timestamp(concat({part(3)}, '-', {part(1)}, '-', {part(2)}), 'yyyy-MM-dd')"
     value = f"CASE WHEN {iso} THEN try_to_timestamp({m}, 'yyyy-MM-dd') ELSE coalesce({first}, {second}) END"
