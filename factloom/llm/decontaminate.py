@@ -117,12 +117,18 @@ def find(docs: DataFrame, items: DataFrame, n: int = N, block_bytes: int = BLOCK
 
 def remove(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = N) -> DataFrame:
     """docs without the documents that an item's window occurs in, or ("spans") without those windows' bytes."""
+    clash = [c for c in docs.columns if c in NAMES]
+    for c in clash:
+        docs = docs.withColumnRenamed(c, f"__{c}")
     found = find(docs, items, n)
+    back = lambda df: df.select(*(F.col(c).alias(c.removeprefix("__") if c.removeprefix("__") in clash else c) for c in docs.columns))
     if mode == "documents":
-        return found.filter("n_hit = 0").select(*docs.columns)
+        return back(found.filter("n_hit = 0"))
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode}")
 
+    names = docs.columns
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -132,9 +138,9 @@ def remove(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int =
                     text = b"".join(text[a:b] for a, b in zip(ends, [*(x["start"] for x in spans), len(text)], strict=True))
                 out.append(text)
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(out, pa.binary()).cast(pa.string())).select(docs.columns)
+            yield batch.set_column(at, "text", pa.array(out, pa.binary()).cast(pa.string())).select(names)
 
-    return found.select(*docs.columns, "spans").mapInArrow(cut, docs.schema)
+    return back(found.select(*names, "spans").mapInArrow(cut, docs.schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
