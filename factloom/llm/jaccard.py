@@ -38,6 +38,7 @@ HISTOGRAM_BITS = 20
 CELL_BITS = 27
 BLOCK = 256
 SMALL = 64
+SHORT = 4096
 BROADCAST_IDS = 1_000_000
 
 
@@ -106,20 +107,38 @@ def _levels(texts: DataFrame) -> np.ndarray:
     return np.minimum(60, np.log2(1 + total / (2 * total.mean() + 1))).astype(np.uint8)
 
 
-def _payload(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, n, shingles: binary) of the documents named by ids (rep: long, distinct)."""
-    ids = ids.select("rep")
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents named by ids (rep: long, distinct), by broadcast up to BROADCAST_IDS of them."""
+    picked = docs.select("doc_id", "text")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+        return picked.join(F.broadcast(ids), F.col("doc_id") == F.col("rep"), "left_semi")
+    return picked.join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
+
+
+def _payload(docs: DataFrame, ids: DataFrame, short: bool = False) -> DataFrame:
+    """(rep, shingles: binary) of the documents named by ids; short: their shingles' top 16 bits (32 for large sets)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r0, r1, buf, offs in W.slices(batch.column("text")):
-                s = shingles(buf, offs)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[r0:r1], pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["rep", "n", "shingles"])
+                s = [_short(x) if short else x for x in shingles(buf, offs)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[r0:r1], pa.array([x.tobytes() for x in s], pa.binary())], ["rep", "shingles"])
+
+    return _only(docs, ids.select("rep")).mapInArrow(make, "rep long, shingles binary").filter("length(shingles) > 0")
+
+
+def _short(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(48)).astype("<u2") if len(s) <= SHORT else (s >> np.uint64(32)).astype("<u4")
 
-    picked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
-    return picked.mapInArrow(make, "rep long, n long, shingles binary").filter("n > 0")
+
+def may_link(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
+    """False only for sets that don't link: shortened shingles have at least the whole ones' overlap."""
+    x, y = (np.frombuffer(v, "<u2" if len(v) <= 2 * SHORT else "<u4") for v in (a, b))
+    if x.itemsize != y.itemsize:
+        x, y = (v >> 16 if v.itemsize == 4 else v for v in (x, y))
+    (ux, cx), (uy, cy) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(ux, uy, True, True)
+    return np.minimum(cx[i], cy[j]).sum() >= least_overlap(len(x), len(y), percent)
 
 
 def linked(a: np.ndarray, b: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> bool:
@@ -162,7 +181,8 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     by links, itself included.
 
     A null or empty text has no shingle and links with nothing. A null doc_id links with nothing and its component is
-    null. Rows that share a doc_id count by their texts, as rows of their own.
+    null. Ids should be unique, but for repeated rows,
+    which get equal results.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -176,7 +196,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     members = written(texts.mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long"), "members")
     classes = written(members.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    usable = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    usable = _only(texts, classes.select("rep").distinct())
+    if classes.count() > BROADCAST_IDS:
+        usable = written(usable, "representatives")
     levels = spark.sparkContext.broadcast(_levels(usable.select("text")))
 
     def prefixes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -185,29 +207,26 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     twice = spark.sparkContext.broadcast(sketch.count(usable.select("text"), prefixes, CELL_BITS, 1 << 62)[0])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(twice.value, np.uint8), set()
+        bits = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
-            for _, _, buf, offs in W.slices(batch.column("text")):
+            ids = batch.column("doc_id").to_pylist()
+            for r0, _, buf, offs in W.slices(batch.column("text")):
                 out: list[tuple] = []
-                for s in shingles(buf, offs):
-                    if not len(s) or (key := _key(s)) in seen:
+                for i, s in enumerate(shingles(buf, offs), r0):
+                    if not len(s):
                         continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(key)
                     p = prefix(s, levels.value, 0, percent)
                     at = np.flatnonzero(sketch.repeated(bits, p, CELL_BITS))
                     if len(at):
-                        out.append((p[at], key, len(s), 1 - len(at) / len(p), at))
+                        out.append((p[at], ids[i], len(s), 1 - len(at) / len(p), at))
                 if out:
                     times = [len(x[0]) for x in out]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), *(pa.array(np.repeat(np.array([x[1][k] for x in out], np.int64), times)) for k in (0, 1)), pa.array(np.repeat([x[2] for x in out], times).astype(np.int64)), pa.array(np.repeat([x[3] for x in out], times)), pa.array(np.concatenate([x[4] for x in out]).astype(np.int32))],
-                        ["token", "k1", "k2", "n", "own", "pos"],
+                        [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), times)), pa.array(np.repeat([x[2] for x in out], times).astype(np.int64)), pa.array(np.repeat([x[3] for x in out], times)), pa.array(np.concatenate([x[4] for x in out]).astype(np.int32))],
+                        ["token", "rep", "n", "own", "pos"],
                     )
 
-    rows = usable.select("text").mapInArrow(tokens, "token long, k1 long, k2 long, n long, own double, pos int").join(classes, ["k1", "k2"]).dropDuplicates(["token", "rep"]).select("token", "rep", "n", "own", "pos")
-    rows = written(rows, "prefixes")
+    rows = written(usable.mapInArrow(tokens, "token long, rep long, n long, own double, pos int"), "prefixes")
 
     # one class of each bucket against all others of the bucket
     first = rows.groupBy("token").agg(F.min(F.struct("own", "rep", "n", "pos")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("token", F.col("l.rep").alias("a"), F.col("l.n").alias("na"), F.col("l.pos").alias("ia"))
@@ -227,17 +246,25 @@ def _positional(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, levels, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    pairs = written(pairs, "pairs")
-    sets = written(_payload(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()), "sets")
+    """(a, b) of the pairs that link. Shortened sets go first: few of the others' are then moved."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), levels.value, percent) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
+    def keep(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                take = [test(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb")), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
+
+        return run
+
+    def whole(x: bytes, y: bytes) -> bool:
+        return linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), levels.value, percent)
 
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    for short, test in ((True, lambda x, y: may_link(x, y, percent)), (False, whole)):
+        pairs = written(pairs, "pairs")
+        sets = written(_payload(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), short), "sets")
+        side = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}"))  # noqa: E731, B023
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(keep(test), "a long, b long")
+    return pairs
 
 
 def _across(docs: DataFrame, rows: DataFrame, found: DataFrame, levels, percent: int) -> DataFrame:
