@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from factloom.llm.shared import bounded_sample, table
 SAMPLE_ROWS = 4000
 BITS = 16
 EPOCHS = 60
+_TOGETHER = 250
 #: Fixed thresholds: the least words, the most repeated words in a hundred, the least probability of good quality.
 MIN_WORDS, MAX_REPEAT_PCT, MIN_QUALITY = 20, 30, 0.4
 REPEAT_WINDOW = 8
@@ -83,25 +85,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     model = {"w": np.zeros(size, np.float32), "b": 0.0, "scale": 0.0, "shift": float(np.log(prior / max(1e-9, 1 - prior))) if prior < 1 else 35.0, "rows": len(y)}
     if len(set(y)) < 2:
         return model
-    lens = np.array([len(x) for x in got["idx"].to_pylist()])
+    lens = pc.list_value_length(got["idx"]).to_numpy()
     idx = got["idx"].combine_chunks().flatten().to_numpy()
-    val = got["val"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    val = got["val"].combine_chunks().flatten().to_numpy()
+    del got
     bounds = np.append(0, np.cumsum(lens))
-    row = np.repeat(np.arange(len(y)), lens)
-    order = np.argsort(W.mix((idx.size + np.bincount(row, idx, len(y)) + 1e3 * y).astype(np.uint64)))  # by content, not by place
+    #: Runs of rows that are worked on together, so that the driver holds the sparse rows and little else.
+    parts = [(a, min(a + _TOGETHER, len(y))) for a in range(0, len(y), _TOGETHER)]
+    inner = lambda w, a, b: _sums(w[idx[bounds[a] : bounds[b]]] * val[bounds[a] : bounds[b]], bounds[a:b] - bounds[a], bounds[a + 1 : b + 1] - bounds[a])
+    content = np.concatenate([inner(np.arange(size, dtype=float), a, b) for a, b in parts])
+    order = np.argsort(W.mix((1e3 * content + y).astype(np.uint64)), kind="stable")  # by content, not by place
     fold = np.zeros(len(y), bool)
     fold[order[::5]] = True
     weight = np.where(y == 1, 0.5 / max(1, y[~fold].sum()), 0.5 / max(1, (1 - y[~fold]).sum())) * (~fold)
     w, b, seen, seen_b = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(EPOCHS):
-        z = b + 50 * _sums(w[idx] * val, bounds[:-1], bounds[1:])
-        g = (_sigmoid(z) - y) * weight
-        gw = 50 * np.bincount(idx, val * g[row], size) + 1e-5 * w
+        gw, gb = 1e-5 * w, 0.0
+        for i, j in parts:
+            g = (_sigmoid(b + 50 * inner(w, i, j)) - y[i:j]) * weight[i:j]
+            gw += 50 * np.bincount(idx[bounds[i] : bounds[j]], val[bounds[i] : bounds[j]] * np.repeat(g, lens[i:j]), size)
+            gb += g.sum()
         seen += gw * gw
-        seen_b += g.sum() ** 2
+        seen_b += gb**2
         w -= 0.1 * gw / np.sqrt(seen)
-        b -= 0.1 * g.sum() / np.sqrt(seen_b)
-    z = b + 50 * _sums(w[idx] * val, bounds[:-1], bounds[1:])
+        b -= 0.1 * gb / np.sqrt(seen_b)
+    z = np.concatenate([b + 50 * inner(w, i, j) for i, j in parts])
     z1, y1 = (z[fold], y[fold]) if len(set(y[fold])) == 2 else (z, y)
     a, c = _platt(z1, y1)
     return model | {"w": (50 * w).astype(np.float32), "b": float(b), "scale": float(a), "shift": float(c)}
