@@ -11,8 +11,9 @@ level. Sets that reach the threshold share a token within the first n - ceil(t n
 3. what is left are pairs across components that share a bucket. Buckets of at most SMALL classes give their pairs;
    a pair whose first common token stands too late for the overlap that it needs is dropped (positional filter). The
    classes of larger buckets are laid out in blocks of at most BLOCK classes, each pair of blocks that isn't within one
-   component is a cell, and a cell verifies the pairs that share a prefix token under all of the orders: no pair is
-   lost, none is emitted but links.
+   component is a cell, and a cell keeps the pairs whose shortened sets (16 bits a shingle, never fewer in common than
+   the whole ones) overlap enough. Pairs of both kinds must then share a prefix token under all other orders before
+   their whole sets are compared: no link is lost.
 """
 
 from __future__ import annotations
@@ -149,31 +150,32 @@ def linked(a: np.ndarray, b: np.ndarray, levels: np.ndarray, percent: int = PERC
     return len(np.intersect1d(a, b, True)) >= least_overlap(len(a), len(b), percent)
 
 
-def cell_links(ids: list[int], comps: list[int], sides: list[bool], sets: list[np.ndarray], levels: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links between the two sides of a cell (sides: True for the first block; all True within one block)."""
+def cell_pairs(ids: list[int], comps: list[int], sides: list[bool], short: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs between the two sides of a cell (all True within one block) that may link, by their shortened sets."""
     n = len(ids)
+    sets = [np.frombuffer(v, "<u2") if len(v) <= 2 * SHORT else (np.frombuffer(v, "<u4") >> 16).astype("<u2") for v in short]
     size = np.array([len(s) for s in sets])
     comp = np.array(comps)
     side = np.array(sides)
     ok = np.triu(comp[:, None] != comp[None], 1) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
     if not side.all():
         ok &= side[:, None] != side[None]
-    for order in range(ORDERS):
-        if not ok.any():
-            return []
-        tokens = [prefix(s, levels, order, percent) for s in sets]
-        _, at = np.unique(np.concatenate(tokens), return_inverse=True)
-        row = np.repeat(np.arange(n), [len(t) for t in tokens])
-        some = np.bincount(at)[at] > 1
-        _, at = np.unique(at[some], return_inverse=True)
-        share = np.zeros((n, n), np.float32)
-        for k in range(0, int(at.max(initial=-1)) + 1, 8192):
-            m = np.zeros((n, 8192), np.float32)
-            part = (at >= k) & (at < k + 8192)
-            m[row[some][part], at[part] - k] = 1
-            share += m @ m.T
-        ok &= share > 0
-    return [(ids[i], ids[j]) for i, j in zip(*np.nonzero(ok), strict=True) if len(np.intersect1d(sets[i], sets[j], True)) >= least_overlap(len(sets[i]), len(sets[j]), percent)]
+    if not ok.any():
+        return []
+    values = [np.unique(s) for s in sets]
+    spare = size - np.array([len(v) for v in values])  # shingles that share their shortened value with another
+    row = np.repeat(np.arange(n), size - spare)
+    at = np.concatenate(values).astype(np.int64)
+    some = np.bincount(at)[at] > 1
+    row, at = row[some], np.unique(at[some], return_inverse=True)[1]
+    share = np.zeros((n, n), np.float32)
+    for k in range(0, int(at.max(initial=-1)) + 1, 8192):
+        m = np.zeros((n, 8192), np.float32)
+        part = (at >= k) & (at < k + 8192)
+        m[row[part], at[part] - k] = 1
+        share += m @ m.T
+    ok &= share + np.minimum(spare[:, None], spare) >= least_overlap(size[:, None], size, percent)
+    return [tuple(sorted((ids[i], ids[j]))) for i, j in zip(*np.nonzero(ok), strict=True)]
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -275,11 +277,11 @@ def _across(docs: DataFrame, rows: DataFrame, found: DataFrame, levels, percent:
     few = rows.filter(F.col("c") <= SMALL)
     side = lambda x: few.select("token", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"i{x}"), F.col("comp").alias(f"c{x}"))
     pairs = _positional(side("a").join(side("b"), "token").filter("a < b AND ca <> cb"), percent)
-    return _verified(docs, pairs, levels, percent).unionByName(_cells(docs, rows.filter(F.col("c") > SMALL), levels, percent))
+    return _verified(docs, pairs.unionByName(_cells(docs, rows.filter(F.col("c") > SMALL), percent)).distinct(), levels, percent)
 
 
-def _cells(docs: DataFrame, rows: DataFrame, levels, percent: int) -> DataFrame:
-    """Links across components from large buckets; rows: (token, rep, comp, one), one a class of the bucket."""
+def _cells(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components from large buckets that may link; rows: (token, rep, comp, one), one a class of the bucket."""
     clusters = components(rows.select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct())
     inside = written(rows.select("rep", "comp").distinct().join(clusters, F.col("rep") == F.col("id")).select("rep", "comp", F.col("component").alias("cluster")), "clusters")
     sizes = inside.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
@@ -291,14 +293,14 @@ def _cells(docs: DataFrame, rows: DataFrame, levels, percent: int) -> DataFrame:
     # each class goes to the cells of its block with itself (where that mixes components) and with every other block
     cells = placed.join(blocks, "cluster").filter("NOT (block.of IS NOT NULL AND other.of IS NOT NULL AND block.of = other.of)")
     cells = cells.select("rep", "comp", "cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") == F.least("block", "other")).alias("side"))
-    sets = _payload(docs, inside.select("rep"))
+    sets = _payload(docs, inside.select("rep"), True)
 
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
+    def select(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
-        got = cell_links(frame["rep"].tolist(), frame["comp"].tolist(), frame["side"].tolist(), [np.frombuffer(x, np.uint64) for x in frame["shingles"]], levels.value, percent)
+        got = cell_pairs(frame["rep"].tolist(), frame["comp"].tolist(), frame["side"].tolist(), frame["shingles"].tolist(), percent)
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    return cells.join(sets, "rep").groupBy("cluster", "b1", "b2").applyInPandas(verify, "a long, b long")
+    return cells.join(sets, "rep").groupBy("cluster", "b1", "b2").applyInPandas(select, "a long, b long").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
