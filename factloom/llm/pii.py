@@ -1,6 +1,6 @@
 """PII: format-preserving pseudonyms by keyed Feistel networks, in SQL expressions only.
 
-Validated values (payment cards by Luhn's sum, North American phone numbers, social security numbers, IPv4 addresses,
+Validated values (payment cards by Luhn's sum, North American phone numbers, others behind a + and their country code, social security numbers, IPv4 addresses,
 calendar dates, and e-mail addresses by their form) are permuted within their own format: a Feistel network over two
 coordinates whose ranges multiply to the number of valid values, so that every result is valid too, and different
 values stay different. The pseudonym depends on the value and the key alone, not on punctuation, so equal values stay
@@ -26,10 +26,13 @@ FORMS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+.-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]|-[0-9])",
+    "phone": r"(?<![0-9+.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])",
+    "abroad": r"(?<![A-Za-z0-9+.-])\+[1-9](?:[ .-]?[(]?[0-9][)]?){6,14}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 _ANY = "(?:" + "|".join(FORMS.values()) + ")"
+#: Country codes; none begins another one. Codes of three digits are the others.
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
 _DAYS = 73049  # 1900-01-01 to 2099-12-31, 17 * 4297
 
 
@@ -73,12 +76,21 @@ def _card(m: str, key: str) -> str:
 
 
 def _phone(m: str, key: str) -> str:
-    """Area and exchange codes stay within 200 to 999; a leading 1 stays."""
-    made = _feistel("phone", key, "cast(substr(d, 1, 3) AS bigint) - 200", "(cast(substr(d, 4, 3) AS bigint) - 200) * 10000 + cast(substr(d, 7, 4) AS bigint)", "800", "8000000")
-    body = "concat(cast(f.l + 200 AS string), cast(f.r div 10000 + 200 AS string), lpad(cast(f.r % 10000 AS string), 4, '0'))"
+    """Any three digits are an area or exchange code; a leading 1 stays."""
+    made = _feistel("phone", key, "cast(substr(d, 1, 3) AS bigint)", "cast(substr(d, 4, 7) AS bigint)", "1000", "10000000")
+    body = "concat(lpad(cast(f.l AS string), 3, '0'), lpad(cast(f.r AS string), 7, '0'))"
     return _let(f"regexp_replace({m}, '[^0-9]', '')", "w", _let("right(w, 10)", "d", _let(made, "f", _let(f"concat(left(w, length(w) - 10), {body})", "g", _digits_back(m, "g")))))
 
 
+def _abroad(m: str, key: str) -> str:
+    """Numbers of seven to fifteen digits behind a +; the country code stays, and +1 and ten digits is a phone as above."""
+    half = "cast(length(d) div 2 AS int)"
+    made = _feistel("abroad", key, f"substr(d, 1, {half})", f"substr(d, 1 + {half})", f"cast(pow(10, {half}) AS bigint)", f"cast(pow(10, length(d) - {half}) AS bigint)")
+    body = f"concat(c, lpad(cast(f.l AS string), {half}, '0'), lpad(cast(f.r AS string), length(d) - {half}, '0'))"
+    other = _let(f"regexp_extract(w, '^({_COUNTRY})', 1)", "c", _let("substr(w, 1 + length(c))", "d", _let(made, "f", _let(body, "g", _digits_back(m, "g")))))
+    return _let(f"regexp_replace({m}, '[^0-9]', '')", "w", f"IF(w rlike '^1[0-9]{{10}}$', {_phone(m, key)}, {other})")
+
+
 def _ssn(m: str, key: str) -> str:
     """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999; others aren't valid."""
     area = "cast(substr(d, 1, 3) AS bigint)"
@@ -124,7 +136,7 @@ def _email(m: str, key: str) -> str:
     return _let(f"substring_index({m}, '@', 1)", "u", f"concat({_let(f'aggregate(sequence(1, {ROUNDS}), {start}, {step})', 'f', 'concat(f.l, f.r)')}, substr({m}, 1 + length(u)))")
 
 
-_MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "card": _card}
 
 
 def pseudonym(match: str, key: str = KEY) -> str:

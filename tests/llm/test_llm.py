@@ -186,6 +186,21 @@ def test_op4_is_a_permutation(spark):
         assert got.select("text").distinct().count() == t.count() == got.filter("n_found <= 1").count()
 
 
+def test_op4_phones_of_all_codes_and_countries(spark):
+    values = ["+1 (017) 555-7713", "+1 (132) 555-1352", "017-155-7713", "+10175557713", "+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+49 30 1234567", "+353 1 234 5678", "+1 17 12"]
+    got = pii.pseudonymise(spark.createDataFrame([(i, f"call {v}, or ({v})!") for i, v in enumerate(values)], "doc_id long, text string")).collect()
+    new = {values[r.doc_id]: re.fullmatch(r"call (.*), or \((.*)\)!", r.text).groups() for r in got}
+    assert all(a == b for a, b in new.values())
+    new = {v: a for v, (a, _) in new.items()}
+    assert {v for v in values if new[v] == v} == {"+1 17 12"}
+    assert all(re.sub("[0-9]", "9", new[v]) == re.sub("[0-9]", "9", v) for v in values)
+    digits = {v: re.sub(r"\D", "", new[v]) for v in values}
+    assert digits["+1 (017) 555-7713"] == digits["+10175557713"] and digits["+44 20 7946 0958"] == digits["+442079460958"]
+    assert [digits[v][:n] for v, n in (("+44 20 7946 0958", 2), ("+49 30 1234567", 2), ("+353 1 234 5678", 3))] == ["44", "49", "353"]
+    area = spark.range(1000).selectExpr("concat(lpad(cast(id AS string), 3, '0'), '-155-7713') AS text")
+    assert pii.pseudonymise(area).filter("n_found <= 1").select("text").distinct().count() == 1000
+
+
 def test_op5(docs):
     got = language.apply(docs, bucket("doc_id", 4) != 2).collect()
     assert len(got) == len(_docs())
