@@ -28,8 +28,11 @@ FORMS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9+.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])",
     "abroad": r"(?<![A-Za-z0-9+.-])\+[1-9](?:[ .-]?[(]?[0-9][)]?){6,14}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: Where a run of digits ends, as another form begins; a group that only ends in a phone's leading 1 doesn't count.
+_OTHER = "|".join(FORMS[k] for k in ("ip", "date", "ssn", "phone")).replace(r"\1", "[./]").replace(r"(?:\+?1[ .-]?)?", "(?:1[ .-])?")
+#: A run of groups of digits; the cards in it are found by Luhn's sum.
+FORMS["card"] = rf"(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}))?[0-9]){{12,}}+"
 _ANY = "(?:" + "|".join(FORMS.values()) + ")"
 #: Country codes; none begins another one. Codes of three digits are the others.
 _COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
@@ -66,13 +69,29 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _cards(g: str) -> str:
+    """SQL for the cards [struct(i, k, d)] among groups g of digits: k groups from the i-th, digits d. They don't overlap; the longest goes first, then the first."""
+    runs = f"transform(sequence(1, least(19, size({g}) - i + 1)), k -> named_struct('i', i, 'k', k, 'd', array_join(slice({g}, i, k), '')))"
+    valid = f"length(w.d) BETWEEN 13 AND 19 AND w.d rlike '[1-9]' AND {_luhn('w.d')} % 10 = 0"
+    runs = f"flatten(transform(sequence(1, size({g})), i -> filter({runs}, w -> {valid})))"
+    order = "(x, y) -> CASE WHEN length(x.d) <> length(y.d) THEN length(y.d) - length(x.d) ELSE x.i - y.i END"
+    return f"aggregate(array_sort({runs}, {order}), cast(array() AS array<struct<i: int, k: int, d: string>>), (a, w) -> IF(exists(a, o -> w.i < o.i + o.k AND o.i < w.i + w.k), a, array_append(a, w)))"
+
+
+def _groups(m: str) -> str:
+    return f"regexp_extract_all({m}, '[0-9]+', 0)"
+
+
 def _card(m: str, key: str) -> str:
-    """The first digit and the length stay; the last digit is Luhn's again."""
+    """Of each card the first digit and the length stay; the last digit is Luhn's again. Other groups of the run stay."""
     half = "cast((length(d) - 2) div 2 AS int)"
     made = _feistel("card", key, f"substr(d, 2, {half})", f"substr(d, 2 + {half}, length(d) - 2 - {half})", f"cast(pow(10, {half}) AS bigint)", f"cast(pow(10, length(d) - 2 - {half}) AS bigint)")
     body = f"concat(substr(d, 1, 1), lpad(cast(f.l AS string), {half}, '0'), lpad(cast(f.r AS string), length(d) - 2 - {half}, '0'))"
     whole = _let(body, "e", f"concat(e, cast(pmod(10 - {_luhn('concat(e, 0)')} % 10, 10) AS string))")
-    return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", f"IF({_luhn('d')} % 10 = 0 AND d rlike '[1-9]', {_let(made, 'f', _let(whole, 'g', _digits_back(m, 'g')))}, {m})")
+    new = f"transform(cs, o -> named_struct('i', o.i, 'k', o.k, 'e', {_let('o.d', 'd', _let(made, 'f', whole))}))"
+    group = "coalesce(try_element_at(transform(filter(ns, o -> q + 1 >= o.i AND q + 1 < o.i + o.k), o -> substr(o.e, 1 + length(array_join(slice(g, o.i, q + 1 - o.i), '')), length(x))), 1), x)"
+    joined = f"array_join(flatten(zip_with(transform(g, (x, q) -> {group}), regexp_extract_all({m}, '[ -]', 0), (x, y) -> array(x, coalesce(y, '')))), '')"
+    return _let(_groups(m), "g", _let(_cards("g"), "cs", f"IF(size(cs) = 0, {m}, {_let(new, 'ns', joined)})"))
 
 
 def _phone(m: str, key: str) -> str:
@@ -139,6 +158,13 @@ def _email(m: str, key: str) -> str:
 _MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "card": _card}
 
 
+def kind(match: str, name: str) -> str:
+    """SQL: whether a found value is of the form and of none that is tried before."""
+    whole = {k: _quoted("^(?:" + f.replace(r"(?<![A-Za-z0-9._%+-])", "") + ")$") for k, f in FORMS.items()}
+    before = list(FORMS)[: list(FORMS).index(name)]
+    return " AND ".join([f"{match} rlike {whole[name]}", *(f"NOT {match} rlike {whole[k]}" for k in before)])
+
+
 def pseudonym(match: str, key: str = KEY) -> str:
     """SQL for the pseudonym of a found value; itself if it isn't valid."""
     whole = {k: _quoted("^" + f.replace(r"(?<![A-Za-z0-9._%+-])", "") + "$") for k, f in FORMS.items()}
@@ -153,13 +179,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     and repeated rows pass as they are; a column n_found is replaced.
     """
     text = F.col("text")
-    some = text.rlike("[0-9]{3}|@|[0-9][./-][0-9]")
+    some = text.rlike("[0-9]{3}|@|[0-9][ ./-][0-9]|[+][1-9]")
     found = docs.withColumn("__m", F.when(some, F.expr(f"regexp_extract_all(text, {_quoted(_ANY)}, 0)")).otherwise(F.array().cast("array<string>")))
     found = found.withColumn("__p", F.expr(f"transform(__m, m -> {pseudonym('m', key)})"))
     parts: Column = F.expr(f"split(text, {_quoted(_ANY)}, -1)")
     joined = F.concat_ws("", F.flatten(F.zip_with(parts, F.concat(F.col("__p"), F.array(F.lit(""))), lambda a, b: F.array(a, b))))
     out = found.withColumn("text", F.when(F.size("__m") > 0, joined).otherwise(text))
-    out = out.withColumn("n_found", F.coalesce(F.expr("size(filter(zip_with(__m, __p, (a, b) -> a <> b), x -> x))"), F.lit(0)).cast("long"))
+    out = out.withColumn("n_found", F.coalesce(F.expr(f"aggregate(zip_with(__m, __p, (a, b) -> CASE WHEN a = b THEN 0 WHEN {kind('a', 'card')} THEN {_let(_groups('a'), 'g', 'size(' + _cards('g') + ')')} ELSE 1 END), 0, (n, x) -> n + x)"), F.lit(0)).cast("long"))
     return out.drop("__m", "__p").select(*docs.drop("n_found").columns, "n_found")
 
 

@@ -201,6 +201,24 @@ def test_op4_phones_of_all_codes_and_countries(spark):
     assert pii.pseudonymise(area).filter("n_found <= 1").select("text").distinct().count() == 1000
 
 
+def test_op4_cards_beside_other_numbers(spark):
+    card, other = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    forms = ["{} 12/25", "{} 123", "7 {}", "{} 2024-02-29", "{} 123-45-6789", "{} 212 555 0123", "12 {} 12 34", "1234 {} 12", "{} " + other]
+    rows = [(i, "pay " + f.format(card)) for i, f in enumerate(forms)] + [(20, card), (21, "41 11 11 11 11 11 11 11"), (22, "1 2 " * 2_000), (23, "1" * 50_000), (24, other), (25, "pay 1 2 3 4 5 6 7 8 9 1 2 3")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = got[20].text
+    assert new != card and _luhn(new.replace(" ", "")) and got[21].text.replace(" ", "") == new.replace(" ", "")
+    for i, f in enumerate(forms):
+        before, after = ("pay " + f).split("{}")
+        if i in (3, 4, 5):
+            assert got[i].text.startswith(f"pay {new} ") and got[i].text[len(before + new) :] != after and got[i].n_found == 2
+        elif i == 8:
+            assert (got[i].text, got[i].n_found) == (f"pay {new} {got[24].text}", 2)
+        else:
+            assert (got[i].text, got[i].n_found) == (before + new + after, 1)
+    assert got[23].text == rows[-3][1] and got[25].text == rows[-1][1] and len(got[22].text) == 8_000
+
+
 def test_op5(docs):
     got = language.apply(docs, bucket("doc_id", 4) != 2).collect()
     assert len(got) == len(_docs())
