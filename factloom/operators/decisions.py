@@ -49,27 +49,39 @@ def best_match(scored: DataFrame, score: str) -> DataFrame:
     return scored.filter(F.col(score).isNotNull()).groupBy("a").agg(F.min(F.struct(F.col(score).alias("score"), "b")).alias("m")).select("a", "m.b", "m.score")
 
 
-def k_means(values: list[float], k: int, rounds: int = 100) -> list[list[float]]:
-    """Lloyd's algorithm on sorted numbers; the first k different values are the first means."""
-    x = np.sort(np.array(values, float))
-    means = np.unique(x)[:k]
-    for _ in range(rounds):
+def counted_k_means(x: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """The cluster of each of the different sorted numbers x, which stand for as many elements as counts has.
+
+    Lloyd's algorithm until no element changes its cluster; the first k numbers are the first means.
+    """
+    means, seen = x[:k].astype(float), set()
+    while True:
         near = np.abs(x[:, None] - means).argmin(1)
-        new = np.array([x[near == i].mean() if (near == i).any() else m for i, m in enumerate(means)])
-        if np.allclose(new, means):
-            break
-        means = new
-    near = np.abs(x[:, None] - means).argmin(1)
-    return [x[near == i].tolist() for i in range(len(means))]
+        borders = tuple(np.searchsorted(near, np.arange(len(means))))  # clusters are intervals
+        if borders in seen:
+            return near
+        seen.add(borders)
+        means = np.array([np.average(x[near == i], weights=counts[near == i]) if (near == i).any() else m for i, m in enumerate(means)])
+
+
+def k_means(values: list[float], k: int) -> list[list[float]]:
+    """The clusters of all elements, sorted."""
+    x, counts = np.unique(np.array(values, float), return_counts=True)
+    near = counted_k_means(x, counts, k)
+    return [np.repeat(x[near == i], counts[near == i]).tolist() for i in range(min(k, len(x)))]
 
 
 def grouped_k_means(df: DataFrame, group: str, value: Column, k: int) -> DataFrame:
-    """(group, cluster, n, mean) of each group's distinct values, which must fit in a task."""
+    """(group, cluster, n, mean) over all of each group's rows with a value; a task holds a group's different values and their counts."""
     import pandas as pd
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        got = k_means(frame["v"].tolist(), k)
-        return pd.DataFrame([(frame[group].iloc[0], i, len(c), float(np.mean(c)) if c else None) for i, c in enumerate(got)], columns=[group, "cluster", "n", "mean"])
+        frame = frame.sort_values("v")
+        x, counts = frame["v"].to_numpy(), frame["c"].to_numpy()
+        near = counted_k_means(x, counts, k)
+        got = [(x[near == i], counts[near == i]) for i in range(min(k, len(x)))]
+        return pd.DataFrame([(frame[group].iloc[0], i, int(c.sum()), float(np.average(v, weights=c)) if len(v) else None) for i, (v, c) in enumerate(got)], columns=[group, "cluster", "n", "mean"])
 
     kind = df.schema[group].dataType.simpleString()
-    return df.select(group, value.cast("double").alias("v")).distinct().groupBy(group).applyInPandas(run, f"{group} {kind}, cluster int, n int, mean double")
+    counted = df.select(group, value.cast("double").alias("v")).filter("v IS NOT NULL").groupBy(group, "v").agg(F.count("*").alias("c"))
+    return counted.groupBy(group).applyInPandas(run, f"{group} {kind}, cluster int, n long, mean double")

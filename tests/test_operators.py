@@ -1,6 +1,8 @@
 """Operators on micro-fixtures: cycles, ties, nulls, empty inputs."""
 
-from factloom.operators import index, relevance, taxonomy
+from pyspark.sql import functions as F
+
+from factloom.operators import decisions, index, relevance, taxonomy
 from factloom.plans import closure
 from factloom.sources import lexicon
 from factloom.streaming import append_assertions, with_overlay
@@ -81,3 +83,19 @@ def test_assertions_as_a_stream(spark, tmp_path):
     base = _facts(spark, ("p", "a"))
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
     assert with_overlay(base.fillna(""), spark.read.parquet(f"{tmp_path}/out").fillna("")).count() == 2
+
+
+def test_clusters_count_every_row(spark):
+    rows = [("a", v) for v in [1.0] * 50 + [2.0, 9.0, 10.0, 10.0, None]] + [("b", 5.0), ("c", None)]
+    got = decisions.grouped_k_means(spark.createDataFrame(rows, "g string, v double"), "g", F.col("v"), 2).collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 51, 52 / 51), ("a", 1, 3, 29 / 3), ("b", 0, 1, 5.0)]
+    # no element is nearer to the other mean
+    values = [float(i) for i in range(3000)]
+    first, second = decisions.k_means(values, 2)
+    border = (sum(first) / len(first) + sum(second) / len(second)) / 2
+    assert first[-1] <= border <= second[0]
+    # the clusters of three rows stand by every element's distance, repeats included
+    many = [v for i in range(60) for v in [float(i)] * (1 + 40 * (i % 7 == 0))]
+    parts = decisions.k_means(many, 3)
+    means = [sum(p) / len(p) for p in parts]
+    assert sorted(v for p in parts for v in p) == many and all(min(range(3), key=lambda j: abs(v - means[j])) == i for i, p in enumerate(parts) for v in p)
