@@ -327,6 +327,30 @@ def test_op8(docs):
     assert (alone.train_tokens, alone.base_score, alone.held_out) == (0, 0.0, False)
 
 
+def test_op8_refines_short_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    coder = lm.Coder([(b"a", 50), (b"b", 30), (b"c", 20)], 4, 9)
+    mixer = lm.Mixer(rng.integers(0, 9, (lm.TABLES, 1 << lm.SLOT_BITS, 2)).astype(np.uint16))
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"xy"], n)) for n in (60, 3, 300, 0, 700)]
+    got = mixer.run(texts, coder)
+    assert np.allclose(got, [mixer.run([t], coder)[0] for t in texts])
+    # token by token: a run's decisions are coded by the weights that the runs before have left
+    want = np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        weights = mixer.weights.copy()
+        for slots, bits, _, kinds, *_ in coder.rounds([t], lm.RUN):
+            inputs, gates = mixer.mixed(slots, bits, kinds, False)
+            x = sum(weights[gates, j] * v for j, v in enumerate([*inputs, 0.3]))
+            p = 1 / (1 + np.exp(-x))
+            want[i] += np.log(np.where(bits, p, 1 - p)).sum()
+            for j, v in enumerate([*inputs, 0.3]):
+                weights[:, j] += np.clip(lm.RATE * np.bincount(gates, (bits - p) * v, lm._GATES), -lm.STEP, lm.STEP)
+    assert np.allclose(got, want, rtol=1e-4)
+    monkeypatch.setattr(lm, "RATE", 0)
+    frozen = mixer.run(texts, coder)
+    assert [abs(a - b) > 1e-6 for a, b in zip(got, frozen, strict=True)] == [True, False, True, False, True]
+
+
 def test_op8_is_a_distribution():
     """Over all continuations of one symbol the model's probabilities sum to one."""
     coder = lm.Coder([(b"a", 5), (b"b", 3), (b"c", 2)], 4, 0)
