@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import written
+from factloom.llm.shared import spent, written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): each id that occurs in links (a, b: long) with the smallest id that it reaches.
+    """(id, component): each id that occurs in links (a, b: of one type with an order) with the smallest id that it
+    reaches. Without links it is empty; repeated links and links of an id with itself add nothing.
 
-    Every round is written, so a lost executor costs one round. Rounds grow with the logarithm of the longest path.
+    Every round is written and the round before it removed, so a lost executor costs one round. Rounds grow with the
+    logarithm of the longest path.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
@@ -21,8 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "links")
+        old, edges = edges, written(small.distinct(), "links")
+        spent(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            found = edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            out = written(found, "components")
+            spent(edges)
+            return out
         before = now

@@ -1,45 +1,45 @@
-"""N-gram Jaccard join by prefix filters under several global token orders.
-
-A document's set is its distinct 5-word shingles. Equal sets are one class from the start. All orders put frequent
-shingles last (by the level of a fixed-size histogram over all documents) and differ in the permutation within a
-level. Sets that reach the threshold share a token within the first n - ceil(t n) + 1 under every order, so:
-
-1. prefixes under the first order are joined by token, after a count-min sketch has dropped, without loss, the tokens
-   that stand in one place only;
-2. in each token's bucket all classes are first held against one, the class with the fewest tokens of its own, so a
-   group of near copies falls together without its pairs;
-3. what is left are pairs across components that share a bucket. Buckets of at most SMALL classes give their pairs;
-   a pair whose first common token stands too late for the overlap that it needs is dropped (positional filter). The
-   classes of larger buckets are laid out in blocks of at most BLOCK classes, each pair of blocks that isn't within one
-   component is a cell, and a cell keeps the pairs whose shortened sets (16 bits a shingle, never fewer in common than
-   the whole ones) overlap enough. Pairs of both kinds must then share a prefix token under all other orders before
-   their whole sets are compared: no link is lost.
+"""N-gram Jaccard join by prefix filters under several global token orders, intersected before verification.
+
+A document's set is its distinct 5-word shingles. Equal sets are one class from the start. A set that reaches the
+threshold with another one has most of its tokens in common with it, so:
+
+1. A set of whose tokens fewer than the threshold's share stand in other sets has no partner. A count-min sketch,
+   which takes no repeated token for a single one, drops most such sets; the tokens of the others are counted exactly,
+   which drops the rest.
+2. All orders put frequent tokens last (by the logarithm of the exact count) and differ in the permutation of tokens
+   that are as frequent. Linked sets share a token within the first n - ceil(t n) + 1 under every order. The shorter
+   one has it within the first n - ceil(2 t n / (1 + t)) + 1 even, so a bucket of the first order pairs the short
+   prefixes with the long ones, and the places of a pair's first common token must leave room for the overlap that it
+   needs. What is left must share prefix tokens under all other orders too, by their prefixes in 32 bits a token. Only
+   then are whole sets moved and compared.
+3. In each bucket all classes are first held against one, so a group of near copies falls together without its
+   pairs. Then come all pairs across components: in each bucket the classes outside its largest component against all,
+   a large bucket dealt out in blocks. No link between components is lost.
+
+Work grows with the classes outside the largest component of a bucket times its size, so it is quadratic where a
+passage fills the short prefixes of many sets that don't link. The sketch has a fixed size; where far more tokens come
+in, it lets more sets through and the exact counts take over.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import sketch
 from factloom.llm import words as W
 from factloom.llm.components import components
-from factloom.llm.shared import table, written
+from factloom.llm.shared import spent, table, written
 
 SHINGLE = 5
 PERCENT = 80
 ORDERS = 3
-HISTOGRAM_BITS = 20
 CELL_BITS = 27
-BLOCK = 256
-SMALL = 64
-SHORT = 4096
+BLOCK = 1024
 BROADCAST_IDS = 1_000_000
 
 
@@ -65,129 +65,31 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-    """The tokens of s that come first under an order, in that order."""
-    level = levels[(W.mix(s, 99) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)]
-    key = (level.astype(np.uint64) << np.uint64(58)) | (W.mix(s, 1000 + order) >> np.uint64(6))
-    p = prefix_length(len(s), percent)
-    at = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-    return s[at[np.argsort(key[at])]]
+def ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """Indexes of tokens by level and, within one, by a permutation of the order's own."""
+    return np.argsort((levels.astype(np.uint64) << np.uint64(56)) | (W.mix(tokens.view(np.uint64), 1000 + order) >> np.uint64(8)))
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(W.mix(s, salt).sum(dtype=np.uint64).view(np.int64)) for salt in (11, 13))
 
 
-def _levels(texts: DataFrame) -> np.ndarray:
-    """By histogram cell, how often shingles come that fall into it: 0 for the usual, else the logarithm's steps."""
-    bits, block = HISTOGRAM_BITS, 1 << 16
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for _, _, buf, offs in W.slices(batch.column("text")):
-                s = shingles(buf, offs)
-                if s:
-                    total += np.bincount((W.mix(np.concatenate(s), 99) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        for k in range(0, 1 << bits, block):
-            part = total[k : k + block]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "counts": pa.array([part.astype(np.min_scalar_type(int(part.max()))).tobytes()], pa.binary())})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                held[b] = held.get(b, 0) + np.frombuffer(c, f"u{len(c) // block}").astype(np.int64)
-        for b, x in held.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
-
-    total = np.zeros(1 << bits, np.int64)
-    for r in texts.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, counts binary").toLocalIterator():
-        total[r.block : r.block + block] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(60, np.log2(1 + total / (2 * total.mean() + 1))).astype(np.uint8)
-
-
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents named by ids (rep: long, distinct), by broadcast up to BROADCAST_IDS of them."""
+    """(doc_id, text) of the documents named by ids (rep, distinct), by broadcast up to BROADCAST_IDS of them."""
     picked = docs.select("doc_id", "text")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         return picked.join(F.broadcast(ids), F.col("doc_id") == F.col("rep"), "left_semi")
     return picked.join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
 
 
-def _payload(docs: DataFrame, ids: DataFrame, short: bool = False) -> DataFrame:
-    """(rep, shingles: binary) of the documents named by ids; short: their shingles' top 16 bits (32 for large sets)."""
+def linked(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    return len(np.intersect1d(x, y, True)) >= least_overlap(len(x), len(y), percent)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r0, r1, buf, offs in W.slices(batch.column("text")):
-                s = [_short(x) if short else x for x in shingles(buf, offs)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[r0:r1], pa.array([x.tobytes() for x in s], pa.binary())], ["rep", "shingles"])
-
-    return _only(docs, ids.select("rep")).mapInArrow(make, "rep long, shingles binary").filter("length(shingles) > 0")
-
-
-def _short(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(48)).astype("<u2") if len(s) <= SHORT else (s >> np.uint64(32)).astype("<u4")
-
-
-def may_link(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
-    """False only for sets that don't link: shortened shingles have at least the whole ones' overlap."""
-    x, y = (np.frombuffer(v, "<u2" if len(v) <= 2 * SHORT else "<u4") for v in (a, b))
-    if x.itemsize != y.itemsize:
-        x, y = (v >> 16 if v.itemsize == 4 else v for v in (x, y))
-    (ux, cx), (uy, cy) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(ux, uy, True, True)
-    return np.minimum(cx[i], cy[j]).sum() >= least_overlap(len(x), len(y), percent)
-
-
-def linked(a: np.ndarray, b: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sets reach the threshold; the orders' filters come before the whole intersection."""
-    for order in range(1, ORDERS):
-        if not np.intersect1d(prefix(a, levels, order, percent), prefix(b, levels, order, percent), True).size:
-            return False
-    return len(np.intersect1d(a, b, True)) >= least_overlap(len(a), len(b), percent)
-
-
-def cell_pairs(ids: list[int], comps: list[int], sides: list[bool], short: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs between the two sides of a cell (all True within one block) that may link, by their shortened sets."""
-    n = len(ids)
-    sets = [np.frombuffer(v, "<u2") if len(v) <= 2 * SHORT else (np.frombuffer(v, "<u4") >> 16).astype("<u2") for v in short]
-    size = np.array([len(s) for s in sets])
-    comp = np.array(comps)
-    side = np.array(sides)
-    ok = np.triu(comp[:, None] != comp[None], 1) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
-    if not side.all():
-        ok &= side[:, None] != side[None]
-    if not ok.any():
-        return []
-    values = [np.unique(s) for s in sets]
-    spare = size - np.array([len(v) for v in values])  # shingles that share their shortened value with another
-    row = np.repeat(np.arange(n), size - spare)
-    at = np.concatenate(values).astype(np.int64)
-    some = np.bincount(at)[at] > 1
-    row, at = row[some], np.unique(at[some], return_inverse=True)[1]
-    share = np.zeros((n, n), np.float32)
-    for k in range(0, int(at.max(initial=-1)) + 1, 8192):
-        m = np.zeros((n, 8192), np.float32)
-        part = (at >= k) & (at < k + 8192)
-        m[row[part], at[part] - k] = 1
-        share += m @ m.T
-    ok &= share + np.minimum(spare[:, None], spare) >= least_overlap(size[:, None], size, percent)
-    return [tuple(sorted((ids[i], ids[j]))) for i, j in zip(*np.nonzero(ok), strict=True)]
 
-
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: the size of its set, and the smallest doc_id that it reaches
-    by links, itself included.
-
-    A null or empty text has no shingle and links with nothing. A null doc_id links with nothing and its component is
-    null. Ids should be unique, but for repeated rows,
-    which get equal results.
-    """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+def _signed(texts: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2): the size and the 128-bit key of every row's set."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,111 +98,163 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 k = [_key(x) for x in s]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[r0:r1], pa.array([len(x) for x in s], pa.int64()), pa.array([x[0] for x in k], pa.int64()), pa.array([x[1] for x in k], pa.int64())], ["doc_id", "n_shingles", "k1", "k2"])
 
-    members = written(texts.mapInArrow(sign, "doc_id long, n_shingles long, k1 long, k2 long"), "members")
-    classes = written(members.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    usable = _only(texts, classes.select("rep").distinct())
-    if classes.count() > BROADCAST_IDS:
-        usable = written(usable, "representatives")
-    levels = spark.sparkContext.broadcast(_levels(usable.select("text")))
+    return texts.mapInArrow(sign, f"doc_id {kind}, n_shingles long, k1 long, k2 long")
 
-    def prefixes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.uint64), *(prefix(s, levels.value, 0, percent) for s in shingles(buf, offs) if len(s))])
 
-    twice = spark.sparkContext.broadcast(sketch.count(usable.select("text"), prefixes, CELL_BITS, 1 << 62)[0])
+def _sets(texts: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, tokens: binary): the sets that may have a partner, by the sketch."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    tokens = lambda buf, offs: np.concatenate([np.empty(0, np.uint64), *shingles(buf, offs)])
+    twice = texts.sparkSession.sparkContext.broadcast(sketch.count(texts.select("text"), tokens, CELL_BITS, 1)[0])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             for r0, _, buf, offs in W.slices(batch.column("text")):
-                out: list[tuple] = []
-                for i, s in enumerate(shingles(buf, offs), r0):
-                    if not len(s):
-                        continue
-                    p = prefix(s, levels.value, 0, percent)
-                    at = np.flatnonzero(sketch.repeated(bits, p, CELL_BITS))
-                    if len(at):
-                        out.append((p[at], ids[i], len(s), 1 - len(at) / len(p), at))
-                if out:
-                    times = [len(x[0]) for x in out]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), times)), pa.array(np.repeat([x[2] for x in out], times).astype(np.int64)), pa.array(np.repeat([x[3] for x in out], times)), pa.array(np.concatenate([x[4] for x in out]).astype(np.int32))],
-                        ["token", "rep", "n", "own", "pos"],
-                    )
-
-    rows = written(usable.mapInArrow(tokens, "token long, rep long, n long, own double, pos int"), "prefixes")
-
-    # one class of each bucket against all others of the bucket
-    first = rows.groupBy("token").agg(F.min(F.struct("own", "rep", "n", "pos")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("token", F.col("l.rep").alias("a"), F.col("l.n").alias("na"), F.col("l.pos").alias("ia"))
-    pairs = _positional(rows.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib")).join(first, "token").filter("a <> b"), percent)
-    links = written(_verified(usable, pairs, levels, percent), "links")
-    links = written(links.unionByName(_across(usable, rows, components(links), levels, percent)), "links")
-    found = components(links)
-    reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    return members.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-
+                some = [(i, s) for i, s in enumerate(shingles(buf, offs), r0) if len(s)]
+                if not some:
+                    continue
+                ends = np.cumsum([len(x) for _, x in some])
+                hits = np.add.reduceat(sketch.repeated(bits, np.concatenate([x for _, x in some]), CELL_BITS, 1), np.append(0, ends[:-1]), dtype=np.int64)
+                some = [x for x, h in zip(some, hits.tolist(), strict=True) if 100 * h >= percent * len(x[1])]
+                if some:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i for i, _ in some])), pa.array([len(x) for _, x in some], pa.int64()), pa.array([x.tobytes() for _, x in some], pa.binary())], ["rep", "n", "tokens"])
 
-def _positional(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows (a, b, na, nb, ia, ib), one for each common prefix token, whose sizes and whose first common
-    token's places leave room for the overlap that they need."""
-    fits = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-    return fits.filter(f"(100 + {percent}) * least(na - ia, nb - ib) >= {percent} * (na + nb)").select("a", "b")
+    return texts.mapInArrow(keep, f"rep {kind}, n long, tokens binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, levels, percent: int) -> DataFrame:
-    """(a, b) of the pairs that link. Shortened sets go first: few of the others' are then moved."""
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, own, first, others) of the sets with enough tokens that other sets have too. first: (token, pos) of the
+    prefix under order 0, others: 32 bits of the tokens of the prefixes under each other order; tokens that no other
+    set has are left out, own is their share."""
+    kind = sets.schema["rep"].dataType.simpleString()
 
-    def keep(test):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                take = [test(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb")), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
-
-        return run
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (rep, n) in enumerate(zip(batch.column("rep"), batch.column("n").to_pylist(), strict=True)):
+                tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), np.int64)
+                for k in range(0, n, 1 << 18):
+                    part = tokens[k : k + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.repeat(rep, len(part)), pa.repeat(pa.scalar(n, pa.int64()), len(part))], ["token", "rep", "n"])
+
+    rows = sets.mapInArrow(explode, f"token long, rep {kind}, n long")
+    counts = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", F.floor(F.log2("c") * 2).cast("int").alias("level"))
+    known = rows.join(counts, "token").groupBy("rep", "n").agg(F.collect_list("token").alias("tokens"), F.collect_list("level").alias("levels"))
+    known = known.filter(f"100 * size(tokens) >= {percent} * n")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, first, others = [], [], []
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                tokens, at = np.unique(batch.column("tokens")[i].values.to_numpy(), return_index=True)
+                levels = batch.column("levels")[i].values.to_numpy()[at]
+                alone = max(0, n - len(tokens))
+                p = max(0, prefix_length(n, percent) - alone)
+                own.append(alone / n)
+                first.append([{"token": t, "pos": alone + k} for k, t in enumerate(tokens[ordered(tokens, levels, 0)[:p]].tolist())])
+                others.append([(tokens[ordered(tokens, levels, o)[:p]] >> 32).astype(np.int32).tolist() for o in range(1, ORDERS)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), batch.column("n"), pa.array(own, pa.float64()), pa.array(first, pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))), pa.array(others, pa.list_(pa.list_(pa.int32())))],
+                ["rep", "n", "own", "first", "others"],
+            )
+
+    return known.mapInArrow(cut, f"rep {kind}, n long, own double, first array<struct<token:long,pos:int>>, others array<array<int>>").filter("size(first) > 0")
 
-    def whole(x: bytes, y: bytes) -> bool:
-        return linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), levels.value, percent)
 
-    for short, test in ((True, lambda x, y: may_link(x, y, percent)), (False, whole)):
-        pairs = written(pairs, "pairs")
-        sets = written(_payload(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), short), "sets")
-        side = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}"))  # noqa: E731, B023
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(keep(test), "a long, b long")
-    return pairs
+def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: the size of its set, and the smallest doc_id that it reaches
+    by links, itself included. doc_id may be of any type with an order.
 
+    A null or empty text has no shingle and links with nothing. A null doc_id links with nothing and its component is
+    null. Ids should be unique, but for repeated rows, which get equal results. A very long text is one set, held by
+    one task at a time. Of equal sizes the smaller id counts as the shorter side, which no result depends on. An empty
+    table gives no rows, and columns other than doc_id and text don't matter, whatever their names.
+    """
+    texts = docs.select("doc_id", "text")
+    members = written(_signed(texts), "members")
+    classes = written(members.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    usable = _only(texts, classes.select("rep").distinct())
+    sets = written(_sets(usable, percent), "sets")
+    prefixes = written(_prefixes(sets, percent), "prefixes")
+    links = _links(sets, prefixes, percent)
+    found = components(links)
+    spent(links, sets, prefixes)
+    reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    return members.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
-def _across(docs: DataFrame, rows: DataFrame, found: DataFrame, levels, percent: int) -> DataFrame:
-    """Links across the components found so far, from the buckets that hold more than one of them."""
-    rows = rows.join(found, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("one"), F.count("*").alias("c")).filter("lo < hi").select("token", "one", "c")
-    rows = written(rows.join(mixed, "token"), "mixed")
-    few = rows.filter(F.col("c") <= SMALL)
-    side = lambda x: few.select("token", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"i{x}"), F.col("comp").alias(f"c{x}"))
-    pairs = _positional(side("a").join(side("b"), "token").filter("a < b AND ca <> cb"), percent)
-    return _verified(docs, pairs.unionByName(_cells(docs, rows.filter(F.col("c") > SMALL), percent)).distinct(), levels, percent)
 
+def _links(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links whose components are those of all links."""
+    rows = prefixes.select("rep", "n", "own", F.explode("first").alias("x")).select(F.col("x.token").alias("token"), "rep", "n", "own", F.col("x.pos").alias("pos"))
+    mixed = _mixed(rows.withColumn("brief", _brief(percent)), None)
+    # of each bucket the class with the fewest tokens of its own, against all others
+    one = mixed.groupBy("token").agg(F.min_by(F.struct("rep", "n", "pos", "comp", "brief"), F.struct("own", "rep")).alias("l")).select("token", "l.*")
+    links = _verified(sets, prefixes, _pairs(one, mixed, percent, False), percent)
+    # and what is left across components
+    rest = _mixed(mixed.drop("comp", "major", "size"), links)
+    spent(mixed)
+    more = _verified(sets, prefixes, _pairs(rest.filter("comp <> major"), rest, percent, True), percent)
+    both = written(links.unionByName(more), "links")
+    spent(rest, links, more)
+    return both
+
+
+def _mixed(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold several components and a brief place, with their component (comp), the bucket's
+    largest one (major) and its number of rows (size)."""
+    if links is None:
+        rows = rows.withColumn("comp", F.col("rep"))
+    else:
+        comps = components(links)
+        rows = rows.join(comps, F.col("rep") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("id", "component")
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("brief").alias("brief"))
+    some = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("size"), F.count("*").alias("comps"), F.max("brief").alias("some")).filter("comps > 1 AND some")
+    out = written(rows.join(some.select("token", "major", "size"), "token"), "mixed")
+    if links is not None:
+        spent(comps)
+    return out
 
-def _cells(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components from large buckets that may link; rows: (token, rep, comp, one), one a class of the bucket."""
-    clusters = components(rows.select(F.col("one").alias("a"), F.col("rep").alias("b")).distinct())
-    inside = written(rows.select("rep", "comp").distinct().join(clusters, F.col("rep") == F.col("id")).select("rep", "comp", F.col("component").alias("cluster")), "clusters")
-    sizes = inside.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
-    small = sizes.filter(F.col("m") < BLOCK).groupBy("cluster").agg(F.sum("m").alias("s"))
-    placed = inside.join(sizes, ["cluster", "comp"]).join(small, "cluster", "left")
-    block = F.when(F.col("m") >= BLOCK, F.struct(F.col("comp").alias("of"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)).alias("k"))).otherwise(F.struct(F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.ceil(F.col("s") / BLOCK))).alias("k")))
-    placed = written(placed.select("rep", "comp", "cluster", block.alias("block")), "blocks")
-    blocks = placed.select("cluster", F.col("block").alias("other")).distinct()
-    # each class goes to the cells of its block with itself (where that mixes components) and with every other block
-    cells = placed.join(blocks, "cluster").filter("NOT (block.of IS NOT NULL AND other.of IS NOT NULL AND block.of = other.of)")
-    cells = cells.select("rep", "comp", "cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") == F.least("block", "other")).alias("side"))
-    sets = _payload(docs, inside.select("rep"), True)
 
-    def select(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep")
-        got = cell_pairs(frame["rep"].tolist(), frame["comp"].tolist(), frame["side"].tolist(), frame["shingles"].tolist(), percent)
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+def _brief(percent: int) -> Column:
+    """Whether a place is within the prefix that the shorter set of a pair has the first common token in."""
+    return F.expr(f"(100 + {percent}) * (n - pos) >= 2 * {percent} * n")
+
+
+def _pairs(left: DataFrame, right: DataFrame, percent: int, blocks: bool) -> DataFrame:
+    """(a, b) across components, a the shorter, of rows with a common token whose sizes and whose first common token's
+    places leave room for the overlap that they need. blocks: right's large buckets are dealt out, left's repeated."""
+    key = ["token"]
+    if blocks:
+        count = F.ceil(F.col("size") / BLOCK).cast("int")
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), count - 1)))
+        right = right.withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int"))
+        key = ["token", "block"]
+    side = lambda df, x: df.select(*key, F.struct("n", "rep", "pos", "brief", "comp").alias(x))
+    met = side(left, "x").join(side(right, "y"), key).filter("x.comp <> y.comp").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("l"))
+    # a pair's first common token is one of those that it meets by, and must pass
+    met = met.filter(f"s.brief AND 100 * s.n >= {percent} * l.n AND (100 + {percent}) * least(s.n - s.pos, l.n - l.pos) >= {percent} * (s.n + l.n)")
+    return met.select(F.col("s.rep").alias("a"), F.col("l.rep").alias("b")).distinct()
+
+
+def _verified(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that share prefix tokens under all other orders and that link."""
+    side = lambda df, x, c: df.select(F.col("rep").alias(x), F.col(c).alias(f"s{x}"))
+    shared = " AND ".join(f"arrays_overlap(sa[{k}], sb[{k}])" for k in range(ORDERS - 1))
+    pairs = pairs.join(side(prefixes, "a", "others"), "a").join(side(prefixes, "b", "others"), "b").filter(shared).select("a", "b")
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    some = sets.join(ids, "rep", "left_semi")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take = [linked(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
 
-    return cells.join(sets, "rep").groupBy("cluster", "b1", "b2").applyInPandas(select, "a long, b long").distinct()
+    kind = sets.schema["rep"].dataType.simpleString()
+    both = pairs.join(side(some, "a", "tokens"), "a").join(side(some, "b", "tokens"), "b")
+    links = written(both.select("a", "b", "sa", "sb").mapInArrow(keep, f"a {kind}, b {kind}"), "links")
+    spent(pairs)
+    return links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,9 +262,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Rows without a doc_id stay."""
-    found = join(docs).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group stays: the one with the smallest doc_id. Rows without a doc_id stay; of rows that
+    share one, the first by text stays."""
+    found = written(join(docs), "found")
+    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    those = lambda n: docs.join(kept.filter(f"__n {n}"), F.col("doc_id") == F.col("__id"), "left_semi")
+    out = those("= 1").unionByName(docs.filter("doc_id IS NULL"))
+    if kept.filter("__n > 1").isEmpty():
+        return out
+    again = those("> 1").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("__row"))
+    return out.unionByName(again.select("__row.*"))
 
 
 SQL = r"""

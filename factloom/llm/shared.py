@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,23 +30,44 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder; it goes when the application ends, or by drop()."""
+    """df as a table in the shared folder; it goes by spent(), by drop() or when the application ends.
+
+    df itself is run once only, so the shuffle files of the run go with its end.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/factloom-{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.factloom_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing will read any more."""
+    for t in tables:
+        at = (t.sparkSession, t.factloom_path)
+        if at in _made:
+            _made.remove(at)
+            _remove(*at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def drop() -> None:
     """Remove the tables that this process has written."""
     while _made:
-        spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(*_made.pop())
         except Exception:  # noqa: BLE001  the session has ended; its folder goes with the cluster's own clean-up
             return
 

@@ -128,14 +128,6 @@ def whole_windows(first: np.ndarray, n: int, words: int) -> np.ndarray:
     return row[: words - n + 1] == row[n - 1 :] if words >= n else np.empty(0, bool)
 
 
-def covered(hit: np.ndarray, n: int, words: int) -> np.ndarray:
-    """Which words lie in a run of n words that starts at an index in hit."""
-    step = np.zeros(words + 1, np.int64)
-    np.add.at(step, hit, 1)
-    np.add.at(step, hit + n, -1)
-    return np.cumsum(step[:-1]) > 0
-
-
 def per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of flags between consecutive bounds."""
     total = np.zeros(len(flags) + 1, np.int64)
