@@ -1,16 +1,17 @@
 """Substring dedup: words that repeat, in runs of WINDOW, what a document with a smaller doc_id has already.
 
 1. Sketch: each window is stood for by the least of its GRAM-word hashes, so that consecutive windows mostly share
-   one fingerprint; every task counts fingerprints in the cells of a count-min sketch of fixed size and the partial
-   sketches are summed cell block by cell block. A cell's sum is never below a fingerprint's true count, so a window
-   whose estimate is 1 stands in one place only and is dropped without loss.
-2. Exact: the windows estimated repeated, and only those, are shuffled by a 128-bit key of their words and grouped;
-   in each group all but the smallest doc_id lose their words. Windows of cells with HOT or more entries are
-   aggregated on the map side instead and their owners broadcast, up to BROADCAST_KEYS of them, or else joined back:
-   a passage in a third of all rows isn't one task's work.
-
-The sketch is broadcast: three bitmaps of 2**CELL_BITS bits, whatever the input. Where far more fingerprints than
-cells come in, it lets more windows through and the second pass does more; results are the same.
+   one fingerprint. Every task fills a count-min sketch of its fingerprints, and the partitions' sketches are merged. A
+   merged counter is never below a fingerprint's true count, so a window whose estimate is 1 stands in one place only
+   and is dropped without loss.
+2. Exact: the windows estimated repeated, and only those, are shuffled by their fingerprint, a run of adjacent windows
+   with one fingerprint as one row with a 64-bit key for each window. Where fingerprint and key are equal, all but the
+   smallest doc_id lose their words. Windows of hot fingerprints are aggregated on the map side instead, by 128-bit
+   keys, and their owners broadcast, up to BROADCAST_KEYS of them, or else joined back: a passage in a third of all rows
+   isn't one task's work.
+
+What is sent of a sketch, and the three bitmaps that are broadcast, have a fixed size, whatever the input. Where far
+more fingerprints than cells come in, more windows go through and the second pass does more; results are the same.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,7 +33,7 @@ from factloom.llm.shared import table, written
 
 WINDOW = 13
 GRAM = 6
-CELL_BITS = 27
+CELL_BITS, DEPTH = 27, 2
 HOT = 1000
 BROADCAST_KEYS = 500_000
 
@@ -56,16 +58,17 @@ def _windows(buf: np.ndarray, offs: np.ndarray, window: int):
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> DataFrame:
-    """(doc_id, at): windows that a document with a smaller doc_id has too; at is 31 bits of the text's crc32 and the index of
-    the first word, in the high and low 32 bits."""
+    """(doc_id, at, n): runs of n adjacent windows that a document with a smaller doc_id has too; at is 31 bits of the
+    text's crc32 and the index of the first word, in the high and low 32 bits."""
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         *_, row, fp = _windows(buf, offs, window)
         return fp[np.append(True, (fp[1:] != fp[:-1]) | (row[1:] != row[:-1]))] if len(fp) else fp
 
-    counted = spark.sparkContext.broadcast(sketch.count(texts.select("text"), fingerprints, bits, HOT))
+    counted = spark.sparkContext.broadcast(sketch.count(texts.select("text"), fingerprints, bits, DEPTH, HOT))
 
     def keys(buf, start, end, h, at) -> tuple[np.ndarray, np.ndarray]:
         second = W.window_hashes(W.word_hashes(buf, start, end, 1), window, 1)
@@ -73,12 +76,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> Dat
 
     def hot_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The smallest and the greatest doc_id of each hot window in the task."""
-        most, held = np.frombuffer(counted.value[1], np.uint8), pd.DataFrame()
+        hot, held = np.frombuffer(counted.value[1], np.uint8), pd.DataFrame()
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for r0, _, buf, offs in W.slices(batch.column("text")):
                 start, end, first, h, at, row, fp = _windows(buf, offs, window)
-                if (ok := sketch.is_hot(most, fp, bits)).any():
+                if (ok := sketch.is_hot(hot, fp)).any():
                     k1, k2 = keys(buf, start, end, h, at[ok])
                     d = ids[r0 + row[ok]]
                     held = pd.concat([held, pd.DataFrame({"k1": k1, "k2": k2, "owner": d, "last": d})]).groupby(["k1", "k2"], as_index=False).agg({"owner": "min", "last": "max"})
@@ -88,68 +91,107 @@ def repeats(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> Dat
         if len(held):
             yield pa.RecordBatch.from_pandas(held, preserve_index=False)
 
-    row = "k1 long, k2 long, doc_id long, at long, done boolean"
     owners, table_ = None, None
     if counted.value[1].strip(b"\0"):
-        owners = written(texts.mapInArrow(hot_ones, "k1 long, k2 long, owner long, last long").groupBy("k1", "k2").agg(F.min("owner").alias("owner"), F.max("last").alias("last")), "owners")
+        owners = written(texts.mapInArrow(hot_ones, f"k1 long, k2 long, owner {kind}, last {kind}").groupBy("k1", "k2").agg(F.min("owner").alias("owner"), F.max("last").alias("last")), "owners")
         if owners.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
             table_ = owners.toPandas().sort_values(["k1", "k2"])
     apart = owners is not None and table_ is None
-    hot = spark.sparkContext.broadcast(None if table_ is None else tuple(table_[c].to_numpy() for c in ("k1", "k2", "owner", "last")))
-
-    def candidates(only_hot: bool):
-        """Windows estimated repeated. Those whose owner is known by broadcast come as done, if they are to go."""
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            twice, most = (np.frombuffer(x, np.uint8) for x in counted.value)
-            for batch in batches:
-                ids = batch.column("doc_id").to_numpy()
-                for r0, _, buf, offs in W.slices(batch.column("text")):
-                    start, end, first, h, at, row, fp = _windows(buf, offs, window)
-                    ok = sketch.repeated(twice, fp, bits)
-                    warm = sketch.is_hot(most, fp, bits)
-                    if apart:
-                        ok &= warm == only_hot
+    known = spark.sparkContext.broadcast(None if table_ is None else tuple(table_[c].to_numpy() for c in ("k1", "k2", "owner", "last")))
+
+    def marks(buf, offs, first, at, row) -> np.ndarray:
+        data = buf.tobytes()
+        crc = np.array([zlib.crc32(data[offs[i] : offs[i + 1]]) >> 1 for i in range(len(offs) - 1)], np.int64)
+        return (crc[row] << 32) | (at - first[row])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of windows estimated repeated, with their keys; and, without keys, runs of hot windows that are to go."""
+        twice, hot = (np.frombuffer(x, np.uint8) for x in counted.value)
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for r0, _, buf, offs in W.slices(batch.column("text")):
+                start, end, first, h, at, row, fp = _windows(buf, offs, window)
+                warm = sketch.is_hot(hot, fp) if len(hot) else np.zeros(len(fp), bool)
+                cold = sketch.repeated(twice, fp, bits, DEPTH) & ~warm
+                gone = np.zeros(len(fp), bool)
+                if known.value is not None and warm.any():
+                    k1, k2 = keys(buf, start, end, h, at[warm])
+                    gone[warm] = ids[r0 + row[warm]] > _owner(known.value, k1, k2)
+                for ok, one in ((cold, fp), (gone, np.zeros(len(fp), np.uint64))):
                     if not ok.any():
                         continue
-                    at, row, warm = at[ok], row[ok], warm[ok]
-                    k1, k2 = keys(buf, start, end, h, at)
-                    d = ids[r0 + row]
-                    done = np.zeros(len(at), bool)
-                    stay = np.ones(len(at), bool)
-                    if hot.value is not None:
-                        done = warm
-                        stay[warm] = d[warm] > _owner(hot.value, k1[warm], k2[warm])
-                    data = buf.tobytes()
-                    crc = np.array([zlib.crc32(data[offs[i] : offs[i + 1]]) >> 1 for i in range(len(offs) - 1)], np.int64)
-                    where = (crc[row] << 32) | (at - first[row])
-                    k1 = np.where(done, W.mix(where.astype(np.uint64)).view(np.int64), k1)  # spread over the tasks
-                    yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (k1, k2, d, where, done)], ["k1", "k2", "doc_id", "at", "done"])
-
-        return find
+                    a, r, f = at[ok], row[ok], one[ok]
+                    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1] + 1) | (r[1:] != r[:-1]) | (f[1:] != f[:-1])))
+                    sizes = np.diff(np.append(new, len(a)))
+                    where = marks(buf, offs, first, a[new], r[new])
+                    if ok is cold:
+                        k = W.window_hashes(h, window)[a]
+                        ends = np.append(0, 8 * np.cumsum(sizes)).astype(np.int32)
+                        sent = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(k)])
+                        f = f[new]
+                    else:
+                        sent, f = pa.nulls(len(sizes), pa.binary()), W.mix(where.astype(np.uint64))  # spread over the tasks
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), batch.column("doc_id").take(pa.array(r0 + r[new])), pa.array(where), pa.array(sizes.astype(np.int32)), sent], ["fp", "doc_id", "at", "n", "keys"])
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k1, k2, owner = None, None, None
+        tail = None
         for batch in batches:
-            done = batch.column("done").to_numpy(zero_copy_only=False)
-            if done.any():
-                yield batch.filter(batch.column("done")).select(["doc_id", "at"])
-                batch = batch.filter(pa.array(~done))
-            a, b, d = (batch.column(c).to_numpy() for c in ("k1", "k2", "doc_id"))
-            if not len(a):
+            done = batch.column("keys").is_null()
+            if done.true_count:
+                yield batch.filter(done).select(["doc_id", "at", "n"])
+                batch = batch.filter(pc.invert(done))
+            if not len(batch):
                 continue
-            new = np.append(not (k1 == a[0] and k2 == b[0]), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            begun = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-            own = np.where(begun < 0, owner if owner is not None else 0, d[begun])
-            k1, k2, owner = a[-1], b[-1], own[-1]
-            if (take := d > own).any():
-                yield pa.RecordBatch.from_arrays([pa.array(d[take]), batch.column("at").filter(pa.array(take))], ["doc_id", "at"])
-
-    cold = texts.mapInArrow(candidates(False), row).repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc_id").mapInArrow(later, "doc_id long, at long")
+            held = pa.Table.from_batches([batch] if tail is None else [*tail.to_batches(), batch]).combine_chunks()
+            fp = held.column("fp").to_numpy()
+            whole = int(np.searchsorted(fp, fp[-1]))  # the last fingerprint may go on
+            tail = held.slice(whole)
+            if whole:
+                yield from decided(held.slice(0, whole))
+        if tail is not None:
+            yield from decided(tail)
+
+    row = f"fp long, doc_id {kind}, at long, n int, keys binary"
+    cold = texts.mapInArrow(runs, row).repartition("fp").sortWithinPartitions("fp", "doc_id").mapInArrow(later, f"doc_id {kind}, at long, n int")
     if not apart:
         return cold
-    rest = texts.mapInArrow(candidates(True), row).join(owners.filter("owner < last"), ["k1", "k2"])
-    return cold.unionByName(rest.filter("doc_id > owner").select("doc_id", "at"))
+
+    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.frombuffer(counted.value[1], np.uint8)
+        for batch in batches:
+            for r0, _, buf, offs in W.slices(batch.column("text")):
+                start, end, first, h, at, r, fp = _windows(buf, offs, window)
+                if (ok := sketch.is_hot(hot, fp)).any():
+                    k1, k2 = keys(buf, start, end, h, at[ok])
+                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), batch.column("doc_id").take(pa.array(r0 + r[ok])), pa.array(marks(buf, offs, first, at[ok], r[ok]))], ["k1", "k2", "doc_id", "at"])
+
+    rest = texts.mapInArrow(hot_windows, f"k1 long, k2 long, doc_id {kind}, at long").join(owners.filter("owner < last"), ["k1", "k2"])
+    return cold.unionByName(rest.filter("doc_id > owner").select("doc_id", "at", F.lit(1).alias("n")))
+
+
+def decided(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Runs (doc_id, at, n) of the windows that a smaller doc_id has too; rows: whole fingerprints, by fp and doc_id."""
+    n = rows.column("n").to_numpy().astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    ids = rows.column("doc_id").combine_chunks()
+    place = np.append(0, np.cumsum((ids.to_numpy(zero_copy_only=False)[1:] != ids.to_numpy(zero_copy_only=False)[:-1])))[of] if len(n) else of
+    key = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("keys").combine_chunks()])
+    fp = rows.column("fp").to_numpy()[of]
+    order = np.lexsort((key, fp))  # stable: places stay in order
+    k, f, p = key[order], fp[order], place[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]))
+    owner = p[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    gone = np.zeros(len(k), bool)
+    gone[order] = p > owner
+    if not gone.any():
+        return
+    first = np.cumsum(n) - n
+    at = np.flatnonzero(gone)
+    begin = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])))
+    sizes = np.diff(np.append(begin, len(at)))
+    at, of = at[begin], of[at[begin]]
+    where = rows.column("at").to_numpy()[of] + (at - first[of])
+    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(where), pa.array(sizes.astype(np.int32))], ["doc_id", "at", "n"])
 
 
 def _owner(hot: tuple[np.ndarray, ...], k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -172,7 +214,7 @@ def apply(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> DataF
     others; rows that share a doc_id don't take words from each other. Columns of the three names are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    found = repeats(docs, window, bits).groupBy("doc_id").agg(F.collect_list("at").alias("__at")).withColumnRenamed("doc_id", "__id")
+    found = written(repeats(docs, window, bits), "repeats").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("__at")).withColumnRenamed("doc_id", "__id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +223,13 @@ def apply(docs: DataFrame, window: int = WINDOW, bits: int = CELL_BITS) -> DataF
                 ws = (text or b"").split()
                 words.append(len(ws))
                 if at.is_valid and text is not None:
-                    at = at.values.to_numpy()
-                    at = at[at >> 32 == zlib.crc32(text) >> 1] & 0xFFFFFFFF
-                    stay = ~W.covered(at, window, len(ws))
+                    at, n = (at.values.field(c).to_numpy() for c in ("at", "n"))
+                    own = at >> 32 == zlib.crc32(text) >> 1
+                    at, n = at[own] & 0xFFFFFFFF, n[own].astype(np.int64)
+                    step = np.zeros(len(ws) + 1, np.int64)
+                    np.add.at(step, at, 1)
+                    np.add.at(step, at + n + window - 1, -1)
+                    stay = np.cumsum(step[:-1]) <= 0
                     ws = [w for w, s in zip(ws, stay.tolist(), strict=True) if s]
                 removed.append(words[-1] - len(ws))
                 kept.append(b" ".join(ws))

@@ -288,9 +288,8 @@ def _components(rows):
     return [(d, len(s), None if d is None else root(d)) for d, s in sets]
 
 
-@pytest.mark.parametrize(("small", "block"), [(64, 256), (1, 3)])
-def test_op7(spark, docs, monkeypatch, small, block):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize("block", [1024, 3])
+def test_op7(spark, docs, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(3)
     rows = [r[:2] for r in _docs()]
@@ -392,15 +391,33 @@ def test_op9(docs, monkeypatch, hot, keys):
 
 def test_sketch_loses_nothing(docs):
     fp = lambda buf, offs: W.word_hashes(buf, *W.spans(buf, offs, W.SPACED)[:2])
-    twice, _ = sketch.count(docs.select("text"), fp, 17, 5)
-    import pyarrow as pa
-
+    twice, hot = sketch.count(docs.select("text"), fp, 17, 2, 40)
     c = collections.Counter(w for _, x, *_ in _docs() for w in SPACE.findall(x or ""))
-    for w, n in c.items():
-        buf = np.frombuffer(w.encode(), np.uint8)
-        h = W.word_hashes(buf, *W.spans(buf, np.array([0, len(buf)]), W.SPACED)[:2])
-        assert n < 2 or sketch.repeated(np.frombuffer(twice, np.uint8), h, 17).all()
-    assert pa
+    h = np.array([fp(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0] for w in c])
+    n = np.array(list(c.values()))
+    assert sketch.repeated(np.frombuffer(twice, np.uint8), h, 17, 2)[n > 1].all()
+    assert sketch.is_hot(np.frombuffer(hot, np.uint8), h).tolist() == (n >= 40).tolist()
+
+
+def test_partition_sketches_add_up():
+    """Whatever the partitions, their sketches merge to the counters of all, and none is larger than a sketch."""
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 62, 120_000).astype(np.uint64)
+    fp[40_000:60_000] = fp[:20_000]
+    total = np.zeros(2 << 17, np.int64)
+    for part in np.array_split(fp, 3):
+        sk = sketch.Sketch(17, 2)
+        for x in np.array_split(part, 5):
+            sk.add(x)
+            sk.settle()
+        got = list(sk.parts())
+        assert sum(len(p) for _, p, _ in got) <= 2 * (2 << 17) // 8
+        for b, p, whole in got:
+            sketch.merged(total[b << 16 : (b + 1) << 16], p, whole)
+    for k in range(2):
+        cells = sketch.cells(fp, 17, k)
+        want = sum(np.minimum(2, np.bincount(x, minlength=1 << 17)) for x in np.array_split(cells, 3))
+        assert (total[k << 17 : (k + 1) << 17] == want).all()
 
 
 def test_op10(docs, labels):
