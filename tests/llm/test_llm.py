@@ -326,44 +326,89 @@ def test_op8(docs):
     assert (alone.train_tokens, alone.base_score, alone.held_out) == (0, 0.0, False)
 
 
-def test_op8_refines_short_texts(monkeypatch):
-    rng = np.random.default_rng(2)
+def _small_mixer(seed=2):
+    rng = np.random.default_rng(seed)
     coder = lm.Coder([(b"a", 50), (b"b", 30), (b"c", 20)], 4, 9)
-    mixer = lm.Mixer(rng.integers(0, 9, (lm.TABLES, 1 << lm.SLOT_BITS, 2)).astype(np.uint16))
-    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"xy"], n)) for n in (60, 3, 300, 0, 700)]
-    got = mixer.run(texts, coder)
-    assert np.allclose(got, [mixer.run([t], coder)[0] for t in texts])
-    # token by token: a run's decisions are coded by the weights that the runs before have left
-    want = np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        weights = mixer.weights.copy()
-        for slots, bits, _, kinds, *_ in coder.rounds([t], lm.RUN):
-            inputs, gates = mixer.mixed(slots, bits, kinds, False)
-            x = sum(weights[gates, j] * v for j, v in enumerate([*inputs, 0.3]))
-            p = 1 / (1 + np.exp(-x))
-            want[i] += np.log(np.where(bits, p, 1 - p)).sum()
-            for j, v in enumerate([*inputs, 0.3]):
-                weights[:, j] += np.clip(lm.RATE * np.bincount(gates, (bits - p) * v, lm._GATES), -lm.STEP, lm.STEP)
+    n = rng.integers(0, 9, (2, lm.TABLES, 3 << coder.bits))
+    weights = lm.first_weights() + rng.normal(0, 0.1, lm.first_weights().shape)
+    return coder, lm.Mixer(lm.read(n[0], n[1]), weights), rng
+
+
+def _tokens(coder, texts):
+    return coder.tokens(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+
+
+def test_op8_mixes_as_decision_by_decision(monkeypatch):
+    """run() against a plain loop over single decisions, with dictionaries for weights and a text's own counts."""
+    coder, mixer, rng = _small_mixer()
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"xy", b"zed"], n)) for n in (60, 3, 300, 0, 700)]
+    halves = np.array([0, 1, 2, 2, 0], np.int8)
+    got = mixer.run(_tokens(coder, texts), halves, coder)
+    want = []
+    for text, half in zip(texts, halves.tolist(), strict=True):
+        t = _tokens(coder, [text])
+        runs, total = lm.ends_of_runs(len(t.sym)).tolist(), 0.0
+        for kind, (slots, own, bits, of) in enumerate(coder.decisions(t)):
+            weights, seen = mixer.weights[kind].copy(), collections.defaultdict(lambda: [0, 0])
+            place = t.place[of].tolist()
+            for lo, hi in zip([0, *runs], runs, strict=False):
+                change, later = np.zeros_like(weights), []
+                for i in [i for i, x in enumerate(place) if lo <= x < hi]:
+                    raw = [int(mixer.packed[k][slots[k][i] + (half << coder.bits)]) for k in range(lm.TABLES)]
+                    n = [min(31, x) for x in seen[int(own[i])]]
+                    x = np.array([*(v >> 2 for v in raw), round(math.log((n[1] + 0.4) / (n[0] + 0.4)) * 512), 0.3 * 512]) / 512
+                    gate = (raw[0] & 3) * 4 + (raw[1] & 3)
+                    p = 1 / (1 + math.exp(-float(weights[gate] @ x)))
+                    total += math.log(p if bits[i] else 1 - p)
+                    change[gate] += (float(bits[i]) - p) * x
+                    later.append((int(own[i]), int(bits[i])))
+                weights += np.clip(lm.RATE * change, -lm.STEP, lm.STEP)
+                for s, b in later:
+                    seen[s][b] += 1
+        want.append(total)
     assert np.allclose(got, want, rtol=1e-4)
     monkeypatch.setattr(lm, "RATE", 0)
-    frozen = mixer.run(texts, coder)
+    frozen = mixer.run(_tokens(coder, texts), halves, coder)
     assert [abs(a - b) > 1e-6 for a, b in zip(got, frozen, strict=True)] == [True, False, True, False, True]
 
 
+def test_op8_symbols_and_places():
+    coder, _, _ = _small_mixer()
+    t = _tokens(coder, [b"A b  xy\nc", b"", b"c"])
+    assert t.sym.tolist() == [2, 3, lm.ESCAPE, 4, lm.END, lm.END, 4, lm.END]
+    assert (t.row.tolist(), t.place.tolist(), t.n.tolist()) == ([0] * 5 + [1] + [2, 2], [0, 1, 2, 3, 4, 0, 0, 1], [5, 1, 2])
+    runs = lm.ends_of_runs(5000)
+    assert runs[0] == lm.RUN and runs[-1] >= 5000 and (np.diff(runs) <= np.maximum(lm.RUN, runs[:-1] / 8)).all()
+
+
+def test_op8_huffman_is_least():
+    import heapq
+
+    rng = random.Random(0)
+    for _ in range(100):
+        c = [rng.randint(0, 9) for _ in range(rng.randint(2, 40))]
+        offsets, nodes, bits = lm.huffman(c)
+        codes = [tuple(bits[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
+        heap, total = list(c), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            x = heapq.heappop(heap) + heapq.heappop(heap)
+            total += x
+            heapq.heappush(heap, x)
+        assert len(set(codes)) == len(c) and sum(2.0 ** -len(x) for x in codes) == 1 and total == sum(len(x) * n for x, n in zip(codes, c, strict=True))
+
+
 def test_op8_is_a_distribution():
-    """Over all continuations of one symbol the model's probabilities sum to one."""
-    coder = lm.Coder([(b"a", 5), (b"b", 3), (b"c", 2)], 4, 0)
-    counts = np.zeros((lm.TABLES, 1 << lm.SLOT_BITS, 2), np.uint16)
-    mixer = lm.Mixer(counts)
-    total = 0.0
-    for s in range(len(coder.words[0]) - 1):
-        one = np.array([s])
-        start = np.full(1, lm._START)
-        slots, bits, rows, kinds = coder.decisions(one, (start, start, start), np.zeros(1, np.int64), [])
-        x, g = mixer.mixed(slots, bits, kinds, False)
-        z = mixer.mix([*mixer.weights.T.astype(np.float32)], g, x)
-        total += float(np.exp(-np.logaddexp(0, np.where(bits, -z, z))).prod())
-    assert abs(total - 1) < 1e-5
+    """Over all words of the head, the end and the escape, and over all bytes, the model's probabilities sum to one."""
+    coder, mixer, _ = _small_mixer()
+    for kind, tree in enumerate((coder.words, coder.letters)):
+        total = 0.0
+        for s in range(len(tree[0]) - 1):
+            slots, own, bits, _ = coder._paths(tree, np.array([s]), [np.array([5], np.uint32)] * 2, np.array([6], np.uint32) if kind else None)
+            out = np.zeros(1)
+            mixer._code([p.take(x) for p, x in zip(mixer.packed, slots, strict=True)], own, bits, np.zeros(len(bits), np.int32), [len(bits)], [0], kind, out, None)
+            total += math.exp(out[0])
+        assert abs(total - 1) < 1e-4
 
 
 def _substrings(rows):
