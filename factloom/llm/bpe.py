@@ -29,8 +29,9 @@ from factloom.llm.shared import table
 SPAN = 16
 CHUNK_BITS = 11
 SHARED = 4096
-CACHE_BYTES = 48 << 20
-CACHE_PIECES = 300_000
+CACHE_BYTES = 24 << 20
+CACHE_PIECES = 200_000
+_TOGETHER, _SLICE = 4096, 1 << 20
 
 
 def vocabulary() -> str:
@@ -99,7 +100,9 @@ class Coder:
         if new := [p for p in pieces if p not in self.pieces]:
             if len(self.pieces) > CACHE_PIECES:
                 self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces} | {b"": (0, b"", b"")}
-            self.pieces.update(zip(new, self.library(new), strict=True))
+            for k in range(0, len(new), _TOGETHER):  # the library's own objects are large
+                part = new[k : k + _TOGETHER]
+                self.pieces.update(zip(part, self.library(part), strict=True))
 
     def piece(self, p: bytes) -> tuple[int, bytes, bytes]:
         if (got := self.pieces.get(p)) is None:
@@ -164,7 +167,7 @@ def shared_codes(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
                         if len(c) > SPAN:
                             k = digest(c)
                             n[k] = n.get(k, 0) + 1
-            if len(n) > 500_000:
+            if len(n) > 150_000:
                 yield out()
                 n.clear()
         if n:
@@ -213,9 +216,9 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, most
     shared = docs.sparkSession.sparkContext.broadcast(shared_codes(docs, path, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path, shared.value)
+        coder, codes, n, rest = Coder(path, shared.value), None, None, None
         for batch in batches:
-            for r0, r1, buf, offs in W.slices(batch.column("text")):
+            for r0, r1, buf, offs in W.slices(batch.column("text"), _SLICE):
                 codes = coder.encode(list(chunks(buf, offs)))
                 n = pa.array([c[0] for c in codes], pa.int64())
                 if digests:
@@ -224,6 +227,8 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, most
                     ids = np.frombuffer(b"".join(c[1] for c in codes), "<u4").astype(np.int32)
                     rest = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([c[0] for c in codes])).astype(np.int32)), pa.array(ids)), pa.array([c[2] for c in codes], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[r0:r1] for c in keep), n, *rest], [*keep, *names])
+        del coder, codes, n, rest
+        W.release()
 
     cols = list(dict.fromkeys([*keep, "text"]))
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"

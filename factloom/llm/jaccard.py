@@ -82,7 +82,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return picked.join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
 
 
-def linked(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
+def linked(a: pa.Buffer, b: pa.Buffer, percent: int = PERCENT) -> bool:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     return len(np.intersect1d(x, y, True)) >= least_overlap(len(x), len(y), percent)
 
@@ -247,7 +247,7 @@ def _verified(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: i
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take = [linked(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb")), strict=True)]
+            take = [linked(a.as_buffer(), b.as_buffer(), percent) for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(take, pa.bool_()))
 
     kind = sets.schema["rep"].dataType.simpleString()
@@ -264,14 +264,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id. Rows without a doc_id stay; of rows that
     share one, the first by text stays."""
-    found = written(join(docs), "found")
-    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    those = lambda n: docs.join(kept.filter(f"__n {n}"), F.col("doc_id") == F.col("__id"), "left_semi")
-    out = those("= 1").unionByName(docs.filter("doc_id IS NULL"))
-    if kept.filter("__n > 1").isEmpty():
+    found = written(join(docs).filter("doc_id IS NOT NULL"), "found")
+    again = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    gone = written(found.filter("doc_id <> component_id").select("doc_id").union(again).distinct().withColumnRenamed("doc_id", "__id"), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = lambda df: F.broadcast(df) if few else df
+    out = docs.join(ids(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    if again.isEmpty():
         return out
-    again = those("> 1").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("__row"))
-    return out.unionByName(again.select("__row.*"))
+    once = docs.join(ids(again.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"), "left_semi")
+    once = once.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("__row"))
+    return out.unionByName(once.select("__row.*"))
 
 
 SQL = r"""

@@ -20,7 +20,7 @@ from factloom.llm import words as W
 HOT_BITS = 20
 _PLAIN = 50
 _BLOCK = 16
-_PENDING = 1 << 20
+_PENDING = 1 << 19
 
 
 def cells(fp: np.ndarray, bits: int, row: int) -> np.ndarray:

@@ -6,6 +6,7 @@ a few nanoseconds a byte and memory is bounded by the slice, or by the longest t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 SLICE_BYTES = 2 << 20
+_LIBC = ctypes.CDLL(None)
 _SEGMENT = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SALTS = (0x2545F4914F6CDD1D, 0x94D049BB133111EB)
@@ -50,6 +52,13 @@ def mix(z: np.ndarray, salt: int = 0) -> np.ndarray:
     return z
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and an executor's memory is for all of them."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_LIBC, "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole rows of about `limit` bytes; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -69,6 +78,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         end = max(row + 1, int(np.searchsorted(offs, offs[row] + limit, "right")) - 1)
         yield row, end, data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
         row = end
+    release()
 
 
 def spans(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -304,6 +304,31 @@ def test_op7(spark, docs, monkeypatch, block):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_op7_stage_keeps_one_row_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, text + " more"), (7, "alone here"), (7, "alone here"), (8, None), (8, ""), (None, text), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__n", jaccard.F.lit(1))
+    got = jaccard.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert _by_text(got.collect(), "doc_id", "text") == sorted([(1, text), (7, "alone here"), (8, ""), (None, text), (None, text)], key=repr)
+
+
+def test_op7_template_without_links(spark, monkeypatch):
+    """Texts of 200 shared words and 33 own ones don't link, and their bucket is dropped before it makes a pair."""
+    shared = " ".join(f"s{i}" for i in range(200))
+    rows = [(i, " ".join(f"o{i}x{j}" for j in range(33)) + " " + shared) for i in range(300)]
+    made = []
+    monkeypatch.setattr(jaccard, "_pairs", lambda *x, f=jaccard._pairs: made.append(f(*x).count()) or f(*x))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.component_id for r in got) and made == [0, 0]
+
+
+def test_op7_takes_ids_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    got = jaccard.join(spark.createDataFrame([("b", text), ("a", text + " more"), ("c", "else")], "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 3), (20, 20)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
