@@ -8,29 +8,27 @@ from pyspark.sql.types import IntegerType
 
 
 def jaro_winkler(s: str, t: str, weight: float = 0.1, most: int = 4) -> int:
-    """0 (equal) to 100 (nothing in common), without the fraction."""
-    if s == t:
-        return 0
-    if not s or not t:
-        return 100
-    reach = max(0, max(len(s), len(t)) // 2 - 1)
-    used, mine = [False] * len(t), []
-    for i, c in enumerate(s):
-        for j in range(max(0, i - reach), min(len(t), i + reach + 1)):
-            if not used[j] and t[j] == c:
-                used[j] = True
-                mine.append(c)
-                break
-    if not mine:
+    """0 (equal) to 100 (nothing in common), without the fraction; 100 where a string is empty.
+
+    The shorter string's characters look for partners in the longer one, and an odd number of transposed characters
+    counts as one less.
+    """
+    short, long = (s, t) if len(s) <= len(t) else (t, s)
+    reach = max(0, len(long) // 2 - 1)
+    partner: dict[int, int] = {}
+    for i, c in enumerate(short):
+        free = (j for j in range(max(0, i - reach), min(len(long), i + reach + 1)) if long[j] == c and j not in partner)
+        if (j := next(free, None)) is not None:
+            partner[j] = i
+    if not partner:
         return 100
-    theirs = [c for c, u in zip(t, used, strict=True) if u]
-    swaps = sum(a != b for a, b in zip(mine, theirs, strict=True)) / 2
-    m = len(mine)
-    jaro = (m / len(s) + m / len(t) + (m - swaps) / m) / 3
+    moved = sum(long[j] != short[i] for j, i in zip(sorted(partner), sorted(partner.values()), strict=True))
+    m = len(partner)
+    jaro = (m / len(long) + m / len(short) + (m - moved // 2) / m) / 3.0
     start = 0
-    while start < min(most, len(s), len(t)) and s[start] == t[start]:
+    while start < min(most, len(short)) and s[start] == t[start]:
         start += 1
-    return int(100 - 100 * (jaro + start * weight * (1 - jaro)))
+    return int(100 * (1.0 - (jaro + start * weight * (1.0 - jaro))))
 
 
 @pandas_udf(IntegerType())

@@ -96,11 +96,19 @@ def lower_median(values: Column) -> Column:
     return F.when(n == 0, None).when(n % 2 == 1, at((n - 1) / 2)).otherwise(((at(n / 2 - 1) + at(n / 2)) / 2).cast("long")).cast("long")
 
 
-def outside_quartiles(values: Column, value: Column) -> Column:
-    """Whether value lies outside the medians of the lower and the upper half (the middle element in neither).
-    Always for no values; for one value, if it differs."""
-    s, n = F.array_sort(values), F.size(values)
-    half = (n / 2).cast("int")
-    low = lower_median(F.slice(s, F.lit(1), F.greatest(half, F.lit(1))))
-    high = lower_median(F.slice(s, F.greatest(n - half + 1, F.lit(1)), F.greatest(half, F.lit(1))))
-    return F.when(n == 0, True).when(n == 1, F.get(s, F.lit(0)) != value).otherwise((value < low) | (value > high))
+def filled(c: Column, char: str, length: int, before: bool) -> Column:
+    """Filled with a character up to a length; longer strings stay, and null counts as empty."""
+    c = F.coalesce(c, F.lit(""))
+    more = F.repeat(F.lit(char), F.greatest(F.lit(0), F.lit(length) - F.length(c)))
+    return F.concat(more, c) if before else F.concat(c, more)
+
+
+def balanced_paren(c: Column, at: int) -> Column:
+    """The place (from 0) of the parenthesis that closes the one at place at; -1 if there is none, null for null."""
+    steps = F.transform(F.split(F.substring(c, at + 2, 1 << 30), ""), lambda x: F.when(x == "(", 1).when(x == ")", -1).otherwise(0))
+    seen = F.aggregate(
+        steps,
+        F.struct(F.lit(1).alias("open"), F.lit(at).alias("place")),
+        lambda s, x: F.struct(F.when(s["open"] == 0, 0).otherwise(s["open"] + x).alias("open"), F.when(s["open"] == 0, s["place"]).otherwise(s["place"] + 1).alias("place")),
+    )
+    return F.when(c.isNull(), None).when(seen["open"] == 0, seen["place"]).otherwise(-1)

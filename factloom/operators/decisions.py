@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.strings import normal_name, substring_distance, tail_levenshtein
@@ -49,6 +49,24 @@ def best_match(scored: DataFrame, score: str) -> DataFrame:
     return scored.filter(F.col(score).isNotNull()).groupBy("a").agg(F.min(F.struct(F.col(score).alias("score"), "b")).alias("m")).select("a", "m.b", "m.score")
 
 
+def quartiles(df: DataFrame, group: str, value: Column) -> DataFrame:
+    """(group, low, high): the medians, without their fraction, of the lower and the upper half of each group's integers
+    (the middle element in neither; one element alone is both). Groups are sorted by their different values."""
+    counted = df.select(group, value.cast("long").alias("v")).filter("v IS NOT NULL").groupBy(group, "v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(group)
+    counted = counted.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+    half = F.greatest(F.floor(F.col("n") / 2), F.lit(1))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    middle = lambda first: ((at(first + F.floor((half - 1) / 2)) + at(first + F.floor(half / 2))) / 2).cast("long")
+    return counted.groupBy(group).agg(middle(F.lit(0)).alias("low"), middle(F.col("n") - half).alias("high"))
+
+
+def outside_quartiles(df: DataFrame, group: str, value: Column) -> DataFrame:
+    """df and outside: whether a row's value lies outside its group's two medians; null for a null group or value."""
+    found = quartiles(df, group, value).withColumnRenamed(group, "__g")
+    return df.join(found, F.col(group) == F.col("__g"), "left").withColumn("outside", (value < F.col("low")) | (value > F.col("high"))).drop("__g", "low", "high")
+
+
 def counted_k_means(x: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """The cluster of each of the different sorted numbers x, which stand for as many elements as counts has.
 

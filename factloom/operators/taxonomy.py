@@ -59,6 +59,15 @@ def related(facts: DataFrame, rel: str, inverse: dict[str, str] | None = None) -
     return found.distinct()
 
 
+def kinds_of_terms(facts: DataFrame) -> DataFrame:
+    """(term, relation, class, instance): of each relation and each term of a subclass, subrelation or instance fact, what it is."""
+    says = lambda rel, arg, kind: facts.filter(F.col("rel") == rel).select(F.col(arg).alias("term"), F.lit(kind).alias("kind"))
+    stated = [facts.select(F.col("rel").alias("term"), F.lit("relation").alias("kind")), says("subrelation", "a1", "relation"), says("subrelation", "a2", "relation")]
+    stated += [says("subclass", "a1", "class"), says("subclass", "a2", "class"), says("instance", "a2", "class"), says("instance", "a1", "instance")]
+    flag = lambda kind: F.max(F.col("kind") == kind).alias(kind)
+    return reduce(DataFrame.unionByName, stated).filter("term IS NOT NULL").groupBy("term").agg(flag("relation"), flag("class"), flag("instance"))
+
+
 def neighbourhood(facts: DataFrame, term: str, rels: list[str], depth: int) -> DataFrame:
     """(term, depth) within so many steps of the relations, either way."""
     e = reduce(DataFrame.unionByName, [edges(facts, r) for r in rels])

@@ -192,6 +192,13 @@ def class_set(spark, d):
     return closure.frontier(spark.createDataFrame([("Entity",)], "term string"), taxonomy.edges(warehouse(spark, d), "subclass"))
 
 
+@query("""says AS (SELECT rel AS term, 'relation' AS kind FROM facts UNION SELECT unnest([a1, a2]), 'relation' FROM facts WHERE rel = 'subrelation' UNION SELECT unnest([a1, a2]), 'class' FROM facts WHERE rel = 'subclass'
+UNION SELECT a2, 'class' FROM facts WHERE rel = 'instance' UNION SELECT a1, 'instance' FROM facts WHERE rel = 'instance')
+SELECT term, bool_or(kind = 'relation') AS relation, bool_or(kind = 'class') AS "class", bool_or(kind = 'instance') AS instance FROM says GROUP BY term""")
+def kinds_of_terms(spark, d):
+    return taxonomy.kinds_of_terms(warehouse(spark, d))
+
+
 _VALENCE = "val AS (SELECT rel, arg_max(n, c * 100 - n)::INT AS n FROM (SELECT rel, (a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT + (a3 IS NOT NULL)::INT + (a4 IS NOT NULL)::INT AS n, count(*) AS c FROM facts GROUP BY ALL) GROUP BY rel)"
 
 
@@ -335,10 +342,11 @@ dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM w GROUP BY doc_id), qn AS (SEL
 s AS (SELECT item_id, doc_id, round(sum(w * qw) / any_value(dn * qn), 6) AS score FROM w JOIN q USING (term) JOIN dn USING (doc_id) JOIN qn USING (item_id) WHERE dn > 0 AND qn > 0 GROUP BY ALL)
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 3""", facts=False)
 def best_documents(spark, d):
-    w = _weights(spark, d)
+    docs = _t(spark, d, "documents")
+    n = docs.count()
+    w = closure.cut(text.weights(text.term_counts(docs, "doc_id", stop=STOP), "doc_id", n))  # read by norms, products and queries
     tf = text.term_counts(_t(spark, d, "benchmark"), "item_id", stop=STOP)
-    idf = w.select("term", (F.col("w") / F.col("tf")).alias("idf")).dropDuplicates(["term"])
-    q = tf.join(idf, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    q = tf.join(w.select("term", "df").distinct(), "term").select("item_id", "term", (F.col("tf") * F.log10(F.lit(n) / F.col("df"))).alias("w"))
     s = text.cosines(w, "doc_id", q, "item_id").withColumn("score", F.round("score", 6))
     return text.top(s, "item_id", [F.desc("score"), F.asc("doc_id")], 3).select("item_id", "doc_id", "score")
 
@@ -376,17 +384,31 @@ def search_coherence(spark, d):
     return text.coherence(_t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
+@query("SELECT p_partkey, lpad(p_brand, greatest(12, length(p_brand))::INT, '.') AS before, rpad(p_type, greatest(9, length(p_type))::INT, '*') AS after, to_base64(p_name::BLOB) AS coded, replace(url_encode(p_name), '%20', '+') AS url, p_name AS plain FROM part", facts=False)
+def filled_and_coded(spark, d):
+    coded = F.base64(F.col("p_name").cast("binary"))
+    return _t(spark, d, "part").select("p_partkey", st.filled(F.col("p_brand"), ".", 12, True).alias("before"), st.filled(F.col("p_type"), "*", 9, False).alias("after"), coded.alias("coded"), F.url_encode("p_name").alias("url"), F.url_decode(F.url_encode("p_name")).alias("plain"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, '(order (by (c ' || o_custkey || ')) ' || repeat('(', (o_orderkey % 3)::INT) || o_orderstatus || repeat(')', (o_orderkey % 4)::INT) AS text, o_orderstatus FROM orders)
+SELECT o_orderkey, (strpos(text, '))'))::INT AS inner_end, (CASE WHEN o_orderkey % 4 > o_orderkey % 3 THEN strpos(text, o_orderstatus || ')') + o_orderkey % 3 ELSE -1 END)::INT AS outer_end FROM t""", facts=False)
+def balanced_parens(spark, d):
+    key = F.col("o_orderkey").cast("int")
+    text_ = F.concat(F.lit("(order (by (c "), F.col("o_custkey").cast("string"), F.lit(")) "), F.repeat(F.lit("("), key % 3), F.col("o_orderstatus"), F.repeat(F.lit(")"), key % 4))
+    return _t(spark, d, "orders").select("o_orderkey", st.balanced_paren(text_, 7).alias("inner_end"), st.balanced_paren(text_, 0).alias("outer_end"))
+
+
 # --- matching, tables and decisions --------------------------------------------------------------------------------
 
 
 def _names(spark, d) -> DataFrame:
     left = _t(spark, d, "nation").select(F.col("n_name").alias("name"))
-    right = _t(spark, d, "customer").filter("c_custkey <= 200").select(F.concat(F.lit("Nation"), F.col("c_nationkey").cast("string"), F.lit("Of"), F.col("c_custkey").cast("string")).alias("name"))
+    right = _t(spark, d, "customer").select(F.concat(F.lit("Nation_"), F.col("c_nationkey").cast("string"), F.lit("Of"), F.col("c_custkey").cast("string")).alias("name"))
     return decisions.name_pairs(left, right)
 
 
 _NORMAL = "trim(regexp_replace(lower(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g'))"
-_PAIRS = f"""WITH p AS (SELECT n_name AS a, 'Nation' || c_nationkey || 'Of' || c_custkey AS b FROM nation, customer WHERE c_custkey <= 200), q AS (SELECT a, b, {_NORMAL.format('a')} AS x, {_NORMAL.format('b')} AS y FROM p),
+_PAIRS = f"""WITH p AS (SELECT n_name AS a, 'Nation_' || c_nationkey || 'Of' || c_custkey AS b FROM nation, customer), q AS (SELECT a, b, {_NORMAL.format('a')} AS x, {_NORMAL.format('b')} AS y FROM p),
 r AS (SELECT a, b, x, y FROM q WHERE list_has_any(string_split(x, ' '), string_split(y, ' '))),
 s AS (SELECT a, b, (CASE WHEN x = y THEN 1 WHEN contains(x, y) THEN instr(x, y) - 1 + length(x) - length(y) WHEN contains(y, x) THEN instr(y, x) - 1 + length(y) - length(x) END)::INT AS by_substring, levenshtein(x[2:], y[2:])::INT AS by_letters FROM r)"""
 
@@ -425,9 +447,7 @@ def lower_medians(spark, d):
 m AS (SELECT p_brand, n, s, (CASE WHEN h % 2 = 1 THEN lo[(h + 1) // 2] ELSE trunc((lo[h // 2] + lo[h // 2 + 1]) / 2) END)::BIGINT AS q1, (CASE WHEN h % 2 = 1 THEN hi[(h + 1) // 2] ELSE trunc((hi[h // 2] + hi[h // 2 + 1]) / 2) END)::BIGINT AS q3 FROM h)
 SELECT p_partkey, (CASE WHEN n = 1 THEN s[1] <> p_size ELSE p_size < q1 OR p_size > q3 END) AS outside FROM part JOIN m USING (p_brand)""", facts=False)
 def quartile_outliers(spark, d):
-    part = _t(spark, d, "part")
-    groups = part.groupBy("p_brand").agg(F.collect_list(F.col("p_size").cast("long")).alias("v"))
-    return part.join(F.broadcast(groups), "p_brand").select("p_partkey", st.outside_quartiles(F.col("v"), F.col("p_size").cast("long")).alias("outside"))
+    return decisions.outside_quartiles(_t(spark, d, "part"), "p_brand", F.col("p_size")).select("p_partkey", "outside")
 
 
 @query("SELECT l_suppkey AS item, CASE WHEN l_returnflag = 'R' THEN 'risk' ELSE 'trade' END AS bucket, sum(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 1 ELSE 2 END)::BIGINT AS score FROM lineitem GROUP BY ALL", facts=False)
@@ -572,5 +592,5 @@ def rewritten_literals(spark, d):
 
 @query()
 def proof_steps(spark, d):
-    steps = _t(spark, d, "orders").filter("o_orderkey <= 200").select(F.col("o_orderkey").cast("int").alias("step"), F.when(F.col("o_orderkey") > 2, F.array((F.col("o_orderkey") / 2).cast("int"), (F.col("o_orderkey") / 3).cast("int"))).otherwise(F.array().cast("array<int>")).alias("premises"))
+    steps = _t(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("step"), F.when(F.col("o_orderkey") > 2, F.array((F.col("o_orderkey") / 2).cast("int"), (F.col("o_orderkey") / 3).cast("int"))).otherwise(F.array().cast("array<int>")).alias("premises"))
     return closure.simplest_first_proof(steps, 100).select("step", "number")
