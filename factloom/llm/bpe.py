@@ -4,8 +4,8 @@ A rolling hash over the last SPAN bytes cuts every text where its low bits are n
 equal chunks whatever stands before them. Chunks that documents share are encoded once: the SHARED most frequent ones
 over all documents by one task each, their codes are broadcast (SHARED bounds them), and the others once a task, in a
 dictionary that is emptied at CACHE_BYTES. A cut may fall within a word. So each join is repaired: the pieces on both
-sides are glued and encoded anew with a neighbour on either side, and the window widens until the neighbours' codes
-agree with those that the chunks hold; in the end it is the whole text.
+sides are glued and encoded anew with a neighbour on either side; where the neighbours' codes don't agree with those that
+the chunks hold, the whole text is encoded instead. A chunk's inside is put together from its pieces' codes.
 
 Pieces are what ASCII spaces and line feeds part. The tokenizer's words never reach across these, and its normaliser
 never composes across them, so the codes of a text are those of its pieces in order.
@@ -208,7 +208,9 @@ def shared_codes(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
 
 def encode(docs: DataFrame, path: str | None = None, digests: bool = False, most: int = SHARED) -> DataFrame:
     """docs' columns and n_tokens (long) with ids (array<int>) and decoded (string); or, with digests, ids_sha256 and
-    decoded_sha256. A null text counts as empty and has no tokens. Columns of these names are replaced.
+    decoded_sha256. A null text counts as empty and has no tokens. Columns of these names are replaced. A very long text
+    is one task's work at a time. Of chunks that are as frequent the first by digest are shared, which no result depends
+    on; repeated rows get equal results, and an empty table gives no rows.
     """
     path = path or vocabulary()
     names = ["n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]

@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of the items' word windows, held against every text's windows.
 
-The set is broadcast in blocks of at most BLOCK_BYTES of item text, one scan a block: whatever the benchmark's size,
-what is broadcast is bounded. A window that a hash finds is verified by its words before it counts.
+The set is broadcast in blocks of about BLOCK_BYTES of item text, one scan a block. A block's set takes about 130 times its
+text in memory. A window that a hash finds is verified by its words before it counts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from factloom.llm import words as W
 from factloom.llm.shared import table, written
 
 N = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 _FILTER_BITS = 20
 NAMES = ("n_words", "n_hit", "items", "spans")
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
