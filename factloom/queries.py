@@ -207,10 +207,14 @@ def valences(spark, d):
     return taxonomy.valence(warehouse(spark, d))
 
 
-@query("SELECT DISTINCT rel, a1, a2, a3, a4, 3 AS n FROM facts WHERE rel = 'contains' AND a3 = 'S5'")
+#: Valences as a schema declares them; the line number that `contains` has besides is an error in every such fact.
+_DECLARED = [("contains", 3), ("soldBy", 2), ("orderedBy", 2), ("instance", 2), ("subclass", 2)]
+
+
+@query(f"""SELECT rel, a1, a2, a3, a4, n FROM facts JOIN (VALUES {', '.join(map(str, _DECLARED))}) v(rel, n) USING (rel)
+WHERE (a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT + (a3 IS NOT NULL)::INT + (a4 IS NOT NULL)::INT <> n""")
 def arity_errors(spark, d):
-    wrong = spark.createDataFrame([("contains", 3), ("soldBy", 2)], "rel string, n int")
-    return taxonomy.arity_errors(warehouse(spark, d).filter("a3 = 'S5' OR rel = 'soldBy'"), wrong).distinct()
+    return taxonomy.arity_errors(warehouse(spark, d), spark.createDataFrame(_DECLARED, "rel string, n int"))
 
 
 _DOMAINS = [("involves", 1, "Entity"), ("involves", 2, "Entity"), ("soldBy", 1, "PartType")]
@@ -499,25 +503,31 @@ def selected_axioms(spark, d):
 
 
 def _file(spark, d) -> DataFrame:
-    """The nations' and customers' facts and one rule, as knowledge files, one for each source."""
-    facts = warehouse(spark, d).filter("src IN ('nation', 'region', 'customer') AND NOT concat(a1, a2) LIKE '% %'")
-    return facts.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(kif.fact_text(facts))), "\n").alias("text")).select("src", F.concat("text", F.lit("\n; a rule\n(=> (instance ?X ?C) (member ?X ?C))")).alias("text"))
+    """All facts and one rule as knowledge files of about FILE_FACTS facts each, several of them a source."""
+    facts = warehouse(spark, d)
+    of = F.concat("src", F.lit("/"), F.pmod(F.xxhash64("rel", "a1", "a2", "a3", "a4"), F.lit(facts.count() // FILE_FACTS + 1)).cast("string"))
+    files = facts.groupBy(of.alias("src")).agg(F.array_join(F.array_sort(F.collect_list(kif.fact_text(facts))), "\n").alias("text"))
+    return files.unionByName(spark.createDataFrame([("rules/0", "; a rule\n(=> (instance ?X ?C) (member ?X ?C))")], "src string, text string"))
 
 
-@query("""src AS (SELECT rel, a1, a2, src FROM facts WHERE src IN ('nation', 'region', 'customer') AND NOT a1 || a2 LIKE '% %') SELECT src, head, kind, count(*) AS n, sum(args)::BIGINT AS args FROM (SELECT src, rel AS head, 'fact' AS kind, 2 AS args FROM src UNION ALL SELECT DISTINCT src, '=>', 'rule', 2 FROM src) GROUP BY ALL""")
+FILE_FACTS = 10_000
+
+
+@query("""SELECT src, rel AS head, 'fact' AS kind, count(*) AS n, sum((a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT + (a3 IS NOT NULL)::INT + (a4 IS NOT NULL)::INT)::BIGINT AS args FROM facts GROUP BY src, rel UNION ALL SELECT 'rules', '=>', 'rule', 1, 2""")
 def parsed_files(spark, d):
-    return kif.read(_file(spark, d)).groupBy("src", "head", "kind").agg(F.count("*").alias("n"), F.sum(F.size("args")).alias("args"))
+    source = F.split_part("src", F.lit("/"), F.lit(1)).alias("src")
+    return kif.read(_file(spark, d)).groupBy(source, "head", "kind").agg(F.count("*").alias("n"), F.sum(F.size("args")).alias("args"))
 
 
-@query("""s AS (SELECT rel, a1, a2, src FROM facts WHERE src IN ('nation', 'region', 'customer') AND NOT a1 || a2 LIKE '% %'), x AS (SELECT 'arg' AS kind, 0 AS argnum, rel AS term FROM s UNION ALL SELECT 'arg', 1, a1 FROM s UNION ALL SELECT 'arg', 2, a2 FROM s UNION ALL (SELECT 'ant', NULL, 'instance' FROM (SELECT DISTINCT src FROM s)) UNION ALL (SELECT 'cons', NULL, 'member' FROM (SELECT DISTINCT src FROM s)))
-SELECT kind, argnum::INT AS argnum, term, count(*) AS n FROM x GROUP BY ALL""")
+@query("""x AS (SELECT 0 AS argnum, rel AS term FROM facts UNION ALL SELECT unnest([1, 2, 3, 4]), unnest([a1, a2, a3, a4]) FROM facts)
+SELECT 'arg' AS kind, argnum::INT AS argnum, term, count(*) AS n FROM x WHERE term IS NOT NULL AND NOT regexp_matches(term, '^[+-]?[0-9]| ') GROUP BY ALL UNION ALL SELECT 'ant', NULL, 'instance', 1 UNION ALL SELECT 'cons', NULL, 'member', 1""")
 def inverted_index(spark, d):
     return kif.index(kif.read(_file(spark, d))).groupBy("kind", "argnum", "term").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 0 AS depth, true AS list, count(*) AS n FROM facts WHERE src = 'nation' AND NOT a2 LIKE '% %' UNION ALL SELECT 1, false, 3 * count(*) FROM facts WHERE src = 'nation' AND NOT a2 LIKE '% %'")
+@query("SELECT 0 AS depth, true AS list, count(*) AS n FROM facts UNION ALL SELECT 1, false, sum(1 + (a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT + (a3 IS NOT NULL)::INT + (a4 IS NOT NULL)::INT)::BIGINT FROM facts")
 def formula_nodes(spark, d):
-    got = kif.nodes(kif.read(_file(spark, d).filter("src = 'nation'")).filter("kind = 'fact'"))
+    got = kif.nodes(kif.read(_file(spark, d)).filter("kind = 'fact'"))
     return got.groupBy("depth", F.col("token").isNull().alias("list")).agg(F.count("*").alias("n"))
 
 
@@ -544,22 +554,27 @@ def formula_kinds(spark, d):
     return got
 
 
-@query("SELECT DISTINCT '(' || rel || ' ' || a1 || ' ' || a2 || ')' AS value FROM facts WHERE src IN ('nation', 'customer')")
+_WRITTEN = "CASE WHEN contains({0}, ' ') THEN '\"' || {0} || '\"' ELSE {0} END"
+
+
+@query("SELECT DISTINCT '(' || concat_ws(' ', " + ", ".join(_WRITTEN.format(c) for c in ("rel", "a1", "a2", "a3", "a4")) + ") || ')' AS value FROM facts")
 def fact_file(spark, d):
-    facts = warehouse(spark, d).filter("src IN ('nation', 'customer')")
+    facts = warehouse(spark, d)
     return facts.select(kif.fact_text(facts).alias("value")).distinct()
 
 
-@query("SELECT 'fof(kb_' || row_number() OVER (ORDER BY t) || ',axiom,(' || t || ')).' AS value FROM (SELECT DISTINCT 's__subclass(s__' || a1 || ',s__' || a2 || ')' AS t FROM facts WHERE src = 'nation' AND NOT a2 LIKE '% %')")
+_TPTP_TERM = "CASE WHEN contains({0}, ' ') THEN chr(39) || {0} || chr(39) WHEN regexp_full_match({0}, '[0-9]+') THEN {0} ELSE 's__' || {0} END"
+
+
+@query("t AS (SELECT src, 's__' || rel || '(' || concat_ws(',', " + ", ".join(_TPTP_TERM.format(c) for c in ("a1", "a2", "a3", "a4")) + ") || ')' AS t FROM facts) SELECT 'fof(kb_' || row_number() OVER (ORDER BY place, t) || ',axiom,(' || t || ')).' AS value FROM (SELECT t, min(src) AS place FROM t GROUP BY t)")
 def tptp_axioms(spark, d):
-    facts = warehouse(spark, d).filter("src = 'nation' AND NOT a2 LIKE '% %'")
-    parsed = facts.select(kif.fact_text(facts).alias("text"), F.col("rel").alias("head"), F.lit("nation").alias("src"), F.lit(1).alias("start_line"))
-    return exports.tptp_file(parsed)
+    facts = warehouse(spark, d)
+    return exports.tptp_file(facts.select(kif.fact_text(facts).alias("text"), F.col("rel").alias("head"), "src", F.lit(1).alias("start_line")))
 
 
-@query("SELECT 'contains(' || concat_ws(',', lower(a1[1]) || a1[2:], lower(a2[1]) || a2[2:], lower(a3[1]) || a3[2:], a4) || ').' AS value FROM facts WHERE rel = 'contains' AND a4 = '2'")
+@query("SELECT rel || '(' || concat_ws(',', " + ", ".join(f"lower({c}[1]) || regexp_replace({c}[2:], '[^A-Za-z0-9_]', '_', 'g')" for c in ("a1", "a2", "a3", "a4")) + ") || ').' AS value FROM facts")
 def prolog_facts(spark, d):
-    return exports.prolog_facts(warehouse(spark, d).filter("rel = 'contains' AND a4 = '2'"))
+    return exports.prolog_facts(warehouse(spark, d))
 
 
 @query("SELECT p_partkey || ',\"' || p_name || '\",' || p_size || ',' AS value FROM part", facts=False)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from factloom.functions import formula as fo
 from factloom.functions.strings import quote_cell, to_prolog_name
 from factloom.operators.facts import ARGS
+from factloom.plans.closure import numbered
 
 _TPTP = {"and": " & ", "or": " | ", "=>": " => ", "<=>": " <=> "}
 
@@ -61,10 +62,9 @@ def prolog_rule(f) -> str | None:
 def tptp_file(parsed: DataFrame, skip: tuple[str, ...] = ("documentation", "format", "termFormat")) -> DataFrame:
     """(value): numbered axioms of formulas (text, head, src, start_line), each different one once, in their order.
 
-    The number is a rank over all axioms; a written file has one order in any case."""
+    """
     made = parsed.filter(~F.coalesce("head", F.lit("")).isin(*skip)).withColumn("t", to_tptp("text")).filter("t IS NOT NULL").groupBy("t").agg(F.min(F.struct("src", "start_line")).alias("at"))
-    n = F.row_number().over(Window.orderBy("at", "t"))
-    return made.select(F.concat(F.lit("fof(kb_"), n.cast("string"), F.lit(",axiom,("), "t", F.lit(")).")).alias("value"))
+    return numbered(made, "at", "t").select(F.concat(F.lit("fof(kb_"), F.col("number").cast("string"), F.lit(",axiom,("), "t", F.lit(")).")).alias("value"))
 
 
 def prolog_facts(facts: DataFrame) -> DataFrame:
