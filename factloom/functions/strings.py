@@ -112,3 +112,43 @@ def balanced_paren(c: Column, at: int) -> Column:
         lambda s, x: F.struct(F.when(s["open"] == 0, 0).otherwise(s["open"] + x).alias("open"), F.when(s["open"] == 0, s["place"]).otherwise(s["place"] + 1).alias("place")),
     )
     return F.when(c.isNull(), None).when(seen["open"] == 0, seen["place"]).otherwise(-1)
+
+
+def relation_id(c: Column) -> Column:
+    """A relation's name: the first character small."""
+    return F.concat(F.lower(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))
+
+
+def all_caps_id(c: Column) -> Column:
+    """A term's name from words in capitals with underlines between: each word's first character stays, its others are
+    made small."""
+    return F.array_join(F.transform(F.split(c, "_"), lambda w: F.concat(F.substring(w, 1, 1), F.lower(w.substr(F.lit(2), F.length(w))))), "")
+
+
+def is_vowel(c: Column) -> Column:
+    return c.isin("a", "e", "i", "o", "u")
+
+
+def verb_plural(c: Column) -> Column:
+    """A verb's form with a plural ending, at its first word where underlines part several."""
+    word = F.when(F.locate("_", c) > 1, F.substring_index(c, "_", 1)).otherwise(c)
+    rest = c.substr(F.length(word) + 1, F.length(c))
+    made = (
+        F.when(word.rlike("[^aeiou]y$"), F.regexp_replace(word, "y$", "ies"))
+        .when(word.rlike("(s|x|ch|sh|z)$") | (word == "go"), F.concat(word, F.lit("es")))
+        .when(word == "be", "are")
+        .otherwise(F.concat(word, F.lit("s")))
+    )
+    return F.concat(made, rest)
+
+
+def pattern_value(pairs: list[tuple[str, str]], key: Column) -> Column:
+    """The value of the first (pattern, value) whose pattern matches the whole key; empty if none does."""
+    whole = lambda p: key.rlike(rf"\A(?:{p})\z")
+    return F.coalesce(*(F.when(whole(p), F.lit(v)) for p, v in pairs), F.lit(""))
+
+
+def retained(values: Column, pattern: str, remove: bool = False) -> Column:
+    """The elements of an array that a pattern matches as a whole, or those that it doesn't."""
+    hit = lambda x: x.rlike(rf"\A(?:{pattern})\z")
+    return F.filter(values, (lambda x: ~hit(x)) if remove else hit)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.formula import idle_variables
 from factloom.operators.facts import mentions, terms
 from factloom.operators.taxonomy import ancestors, edges, instances
 
@@ -65,3 +66,8 @@ def redundant(facts: DataFrame) -> DataFrame:
     up = ancestors(facts)
     via = e.select("child", F.col("parent").alias("mid")).join(up.select(F.col("child").alias("mid"), "parent"), "mid").filter("mid <> parent")
     return e.join(via, ["child", "parent"], "left_semi")
+
+
+def quantified_in_vain(formulas: DataFrame) -> DataFrame:
+    """formulas (text) and variables: those that name a variable in a quantifier and don't have it in its body."""
+    return formulas.filter("text LIKE '%forall%' OR text LIKE '%exists%'").withColumn("variables", idle_variables("text")).filter("size(variables) > 0")

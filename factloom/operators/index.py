@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.facts import ARGS, mentions, terms
+from factloom.plans.closure import numbered
 
 
 def _at(pos: int):
@@ -92,3 +93,51 @@ def source_dependencies(facts: DataFrame) -> DataFrame:
     defined = facts.filter(F.col("rel").isin("subclass", "instance", "subrelation")).select(F.col("a1").alias("term"), F.col("src").alias("definer")).distinct()
     used = mentions(facts).select("term", F.col("src").alias("user")).distinct()
     return used.join(defined, "term").filter("user <> definer").groupBy("user", "definer").agg(F.count("*").alias("n"))
+
+
+def neighbour(facts: DataFrame, term: str, by: int) -> DataFrame:
+    """(term): the one `by` places behind a term (before it, if negative) in the order of terms, or the last on the way.
+    A term that isn't there stands for the one before it."""
+    all_terms = terms(facts)
+    here = all_terms.filter(F.col("term") <= term).orderBy(F.desc("term"))
+    if by <= 0:
+        return here.limit(1 - by).orderBy("term").limit(1)
+    return here.limit(1).unionByName(all_terms.filter(F.col("term") > term).orderBy("term").limit(by)).orderBy(F.desc("term")).limit(1)
+
+
+def common_terms(facts: DataFrame, one: str, two: str) -> DataFrame:
+    """Terms that both sources have."""
+    of = lambda src: terms(facts.filter(F.col("src") == src))
+    return of(one).intersect(of(two))
+
+
+def page(df: DataFrame, order: list[str], start: int, rows: int) -> DataFrame:
+    """One page of a listing: rows from the start-th (from 0) in this order."""
+    return df.orderBy(*order).offset(start).limit(rows)
+
+
+def by_length(found: DataFrame) -> DataFrame:
+    """(term, number): the longest first, then by name."""
+    return numbered(found.select("term", (-F.length("term")).alias("__n")), "__n", "term").drop("__n")
+
+
+def by_presentation(found: DataFrame, names: DataFrame) -> DataFrame:
+    """(term, name, number): in the order of the names (term, name) that are shown, whatever their case, then by term."""
+    shown = found.join(names, "term", "left").select("term", F.coalesce("name", "term").alias("name"))
+    return numbered(shown.withColumn("__n", F.lower("name")), "__n", "term").drop("__n")
+
+
+def values_by_key(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, values): each key's different values, in their order."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def without_source(facts: DataFrame, src: str) -> DataFrame:
+    """Facts but those of one source, such as a user's assertions."""
+    return facts.filter(~F.col("src").eqNullSafe(src))
+
+
+def implied(facts: DataFrame, closed: DataFrame) -> DataFrame:
+    """(rel, child, parent) of a closure that no fact states: what a cache file adds."""
+    stated = facts.filter("a3 IS NULL").select("rel", F.col("a1").alias("child"), F.col("a2").alias("parent"))
+    return closed.join(stated, ["rel", "child", "parent"], "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.facts import ARGS, arity
-from factloom.plans.closure import closure, frontier, reachable
+from factloom.plans.closure import closure, cut, frontier, reachable
 
 
 def edges(facts: DataFrame, rel: str) -> DataFrame:
@@ -107,3 +107,30 @@ def admissible(valences: DataFrame, signatures: DataFrame, n: int, required: Dat
     of_arity = valences.filter(F.col("n") == n).select("rel")
     missing = of_arity.crossJoin(F.broadcast(required)).join(signatures, ["rel", "pos", "type"], "left_anti")
     return of_arity.join(missing, "rel", "left_anti")
+
+
+def instance_relations(transitive: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(rel): transitive relations (rel) with a signature (rel, pos, type) none of whose types is a class of classes (+)."""
+    return transitive.join(signatures, "rel").groupBy("rel").agg(F.max(F.col("type").endswith("+")).alias("of_classes")).filter("NOT of_classes").select("rel")
+
+
+def expand(facts: DataFrame, term: str, rel: str, up: bool = False) -> DataFrame:
+    """(term): one step below a node of a tree (or above), by a relation and those below it."""
+    got = related(facts, rel)
+    return got.filter(F.col("a1") == term).select(F.col("a2").alias("term")) if up else got.filter(F.col("a2") == term).select(F.col("a1").alias("term"))
+
+
+def nearest_mapped(edges_: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(child, term, steps): for each node of (child, parent) edges the mapping (child, term) of itself or of the nearest
+    node above that has one; the least where several are as near."""
+    nodes = edges_.select("child").union(edges_.select("parent")).union(mapped.select("child")).distinct()
+    open_ = cut(nodes.select("child", F.col("child").alias("at"), F.lit(0).alias("steps")))
+    found, seen, level = None, open_, 0
+    while not open_.isEmpty():
+        hit = cut(open_.join(mapped.withColumnRenamed("child", "at"), "at").groupBy("child").agg(F.min("term").alias("term")).withColumn("steps", F.lit(level)))
+        found = hit if found is None else found.unionByName(hit)
+        level += 1
+        step = open_.join(hit.select("child"), "child", "left_anti").join(edges_.select(F.col("child").alias("at"), "parent"), "at").select("child", F.col("parent").alias("at")).distinct()
+        open_ = cut(step.join(seen, ["child", "at"], "left_anti").withColumn("steps", F.lit(level)))
+        seen = cut(seen.unionByName(open_))
+    return found

@@ -75,3 +75,26 @@ def coherence(searches: DataFrame, user: str, order: list[str], text: str) -> Da
     w = Window.partitionBy(user).orderBy(*order)
     d = searches.withColumn("__d", F.levenshtein(F.col(text), F.lag(text).over(w)))
     return d.filter("__d > 0").groupBy(user).agg(F.floor(F.avg("__d")).alias("mean"))
+
+
+def concept_histogram(tf: DataFrame, concepts: DataFrame, stop: list[str], k: int) -> DataFrame:
+    """(concept, n, place): the k concepts (word, concept) that words name most often over all texts, but those to be
+    left out; by name where they are equal."""
+    counted = tf.join(F.broadcast(concepts), tf["term"] == concepts["word"]).filter(~F.col("concept").isin(*stop)).groupBy("concept").agg(F.sum("tf").alias("n"))
+    top_ = counted.orderBy(F.desc("n"), "concept").limit(k)
+    return top_.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "concept")))  # k rows
+
+
+def best_across_kinds(words: DataFrame, key: str, senses: DataFrame, least: int = 5) -> DataFrame:
+    """(key, word, sense, kind, total): as best_sense for each kind of word (senses: with kind), then the kind whose best
+    sense has the most, the last of equals."""
+    other = words.select(key, F.col("word").alias("companion"))
+    scored = words.select(key, "word").join(senses, "word").join(other, [key, "companion"]).groupBy(key, "word", "kind", "sense", "sense_order").agg(F.sum("n").alias("total"))
+    w = Window.partitionBy(key, "word").orderBy(F.desc("total"), F.desc("kind"), "sense_order")
+    return scored.withColumn("__p", F.row_number().over(w)).filter((F.col("__p") == 1) & (F.col("total") > least)).select(key, "word", "sense", "kind", "total")
+
+
+def above_floor(scored: DataFrame, by: str, floor: float) -> DataFrame:
+    """All best answers of each query: those as good as its best one, if that reaches the floor."""
+    best = scored.groupBy(by).agg(F.max("score").alias("__best")).filter(F.col("__best") >= floor)
+    return scored.join(best, by).filter(F.col("score") == F.col("__best")).drop("__best")

@@ -12,9 +12,9 @@ from factloom.functions import strings as st
 from factloom.functions.distance import jaro_winkler_distance
 from factloom.operators import decisions, diagnostics, index, relevance, taxonomy, text
 from factloom.operators.facts import SQL as FACTS
-from factloom.operators.facts import warehouse
+from factloom.operators.facts import terms, warehouse
 from factloom.plans import closure, rewrite
-from factloom.sources import exports, kif
+from factloom.sources import exports, kif, lexicon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -164,9 +164,15 @@ def disjoint_classes(spark, d):
     return taxonomy.disjoint_pairs(_regions(spark, d))
 
 
-@query(_UP + ", " + _INST + ", " + _DISJOINT + " SELECT x.inst, x.class AS a, y.class AS b FROM members x JOIN members y USING (inst) JOIN disjoint ON a = x.class AND b = y.class WHERE a < b", recursive=True)
+@query(_UP + ", direct AS (SELECT a1 AS inst, a2 AS class FROM facts WHERE rel = 'instance' UNION SELECT 'P' || l_partkey, n_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey), members AS (SELECT * FROM direct UNION SELECT inst, parent FROM direct JOIN up ON class = child), "
++ _DISJOINT + " SELECT x.inst, x.class AS a, y.class AS b FROM members x JOIN members y USING (inst) JOIN disjoint ON a = x.class AND b = y.class WHERE a < b", recursive=True)
 def disjointness_violations(spark, d):
-    return taxonomy.disjoint_violations(taxonomy.instances(warehouse(spark, d)), taxonomy.disjoint_pairs(_regions(spark, d)))
+    """Parts belong to their suppliers' nations here, so to several regions."""
+    facts = warehouse(spark, d)
+    sold = facts.filter("rel = 'soldBy'").select("a1", F.col("a2").alias("s"))
+    home = facts.filter("rel = 'instance' AND src = 'supplier'").select(F.col("a1").alias("s"), "a2")
+    more = sold.join(home, "s").select(F.lit("instance").alias("rel"), "a1", "a2", *(F.lit(None).cast("string").alias(c) for c in ("a3", "a4")), F.lit("made").alias("src"))
+    return taxonomy.disjoint_violations(taxonomy.instances(facts.unionByName(more)), taxonomy.disjoint_pairs(_regions(spark, d)))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT a1) AS subjects FROM (SELECT DISTINCT a1, a2 FROM facts WHERE rel IN ('involves', 'soldBy', 'orderedBy') UNION SELECT a2, a1 FROM facts WHERE rel = 'sells')")
@@ -220,7 +226,8 @@ def arity_errors(spark, d):
 _DOMAINS = [("involves", 1, "Entity"), ("involves", 2, "Entity"), ("soldBy", 1, "PartType")]
 
 
-@query("SELECT * FROM (VALUES ('involves', 1, 'Entity'), ('involves', 2, 'Entity'), ('soldBy', 1, 'PartType'), ('soldBy', 2, 'Entity'), ('orderedBy', 1, 'Entity'), ('orderedBy', 2, 'Entity')) v(rel, pos, type)", facts=False)
+@query(f"""dom AS (SELECT * FROM (VALUES {', '.join(map(str, _DOMAINS))}) v(rel, pos, type)), up AS (SELECT rel AS child, rel AS above, 0 AS d FROM (SELECT rel FROM dom UNION SELECT a1 FROM facts WHERE rel = 'subrelation') UNION SELECT up.child, a2, d + 1 FROM up JOIN facts ON rel = 'subrelation' AND a1 = up.above)
+SELECT child AS rel, pos, arg_min(type, (d, type)) AS type FROM up JOIN dom ON dom.rel = up.above GROUP BY child, pos""", recursive=True)
 def inherited_signatures(spark, d):
     return taxonomy.inherit_signatures(spark.createDataFrame(_DOMAINS, "rel string, pos int, type string"), taxonomy.edges(warehouse(spark, d), "subrelation"))
 
@@ -286,9 +293,11 @@ def terms_without_rules(spark, d):
     return diagnostics.unused_terms(warehouse(spark, d), named)
 
 
-@query("SELECT x.a1 AS inst, x.a2 AS mid, y.a2 AS top FROM facts x JOIN facts y ON x.a2 = y.a1 WHERE x.rel = 'instance' AND y.rel = 'instance'")
+@query("i AS (SELECT a1, a2 FROM facts WHERE rel = 'instance' UNION ALL SELECT a1, a2 FROM facts WHERE rel = 'orderedBy') SELECT x.a1 AS inst, x.a2 AS mid, y.a2 AS top FROM i x JOIN i y ON x.a2 = y.a1")
 def instances_of_instances(spark, d):
-    return diagnostics.instance_of_instance(warehouse(spark, d))
+    """Orders count as instances of their customers here."""
+    facts = warehouse(spark, d)
+    return diagnostics.instance_of_instance(facts.withColumn("rel", F.when(F.col("rel") == "orderedBy", "instance").otherwise(F.col("rel"))))
 
 
 @query(_MENTIONS + " SELECT term, count(*) AS n FROM mentions GROUP BY term")
@@ -609,3 +618,192 @@ def rewritten_literals(spark, d):
 def proof_steps(spark, d):
     steps = _t(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("step"), F.when(F.col("o_orderkey") > 2, F.array((F.col("o_orderkey") / 2).cast("int"), (F.col("o_orderkey") / 3).cast("int"))).otherwise(F.array().cast("array<int>")).alias("premises"))
     return closure.simplest_first_proof(steps, 100).select("step", "number")
+
+
+# --- order, sets and listings --------------------------------------------------------------------------------------
+
+
+@query(_TERMS + " SELECT term FROM (SELECT term FROM terms WHERE term <= 'NATION_2' ORDER BY term DESC LIMIT 8) ORDER BY term LIMIT 1")
+def term_before(spark, d):
+    return index.neighbour(warehouse(spark, d), "NATION_2", -7)
+
+
+@query(_TERMS + " SELECT max(term) AS term FROM terms")
+def term_after_clamped(spark, d):
+    return index.neighbour(warehouse(spark, d), "subclass", 1000)
+
+
+@query(_TERMS + " SELECT term FROM (SELECT term FROM terms WHERE term > 'NATION_2' ORDER BY term LIMIT 9) ORDER BY term DESC LIMIT 1")
+def term_after(spark, d):
+    return index.neighbour(warehouse(spark, d), "NATION_2", 9)
+
+
+@query(_MENTIONS + " SELECT term FROM (SELECT term FROM mentions WHERE src = 'customer' UNION SELECT rel FROM facts WHERE src = 'customer') INTERSECT SELECT term FROM (SELECT term FROM mentions WHERE src = 'supplier' UNION SELECT rel FROM facts WHERE src = 'supplier')")
+def common_terms(spark, d):
+    return index.common_terms(warehouse(spark, d), "customer", "supplier")
+
+
+@query("SELECT rel, a1, a2 FROM facts WHERE rel = 'brand' ORDER BY a2, a1 LIMIT 25 OFFSET 50")
+def listing_page(spark, d):
+    return index.page(warehouse(spark, d).filter("rel = 'brand'").select("rel", "a1", "a2"), ["a2", "a1"], 50, 25)
+
+
+@query(_TERMS + " SELECT term, (row_number() OVER (ORDER BY length(term) DESC, term))::INT AS number FROM terms")
+def terms_by_length(spark, d):
+    return index.by_length(terms(warehouse(spark, d)))
+
+
+@query("SELECT 'P' || p_partkey AS term, p_name AS name, (row_number() OVER (ORDER BY lower(p_name), 'P' || p_partkey))::INT AS number FROM part", facts=False)
+def terms_by_shown_name(spark, d):
+    part = _t(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("term"), F.col("p_name").alias("name"))
+    return index.by_presentation(part.select("term"), part)
+
+
+@query("SELECT rel, a1, list_sort(list(DISTINCT a2)) AS \"values\" FROM facts WHERE a3 IS NULL GROUP BY rel, a1")
+def values_by_key(spark, d):
+    return index.values_by_key(warehouse(spark, d).filter("a3 IS NULL"), ["rel", "a1"], "a2")
+
+
+@query("SELECT rel, a1, a2, a3, a4, src FROM facts WHERE src <> 'customer'")
+def without_assertions(spark, d):
+    return index.without_source(warehouse(spark, d), "customer")
+
+
+@query(_UP + " SELECT 'subclass' AS rel, child, parent FROM up EXCEPT SELECT 'subclass', child, parent FROM sub", recursive=True)
+def cached_facts(spark, d):
+    facts = warehouse(spark, d)
+    return index.implied(facts, taxonomy.ancestors(facts).select(F.lit("subclass").alias("rel"), "child", "parent"))
+
+
+# --- more of classes -----------------------------------------------------------------------------------------------
+
+
+@query("""sig AS (SELECT DISTINCT rel, pos, CASE WHEN rel = 'subclass' THEN 'Class+' ELSE 'Entity' END AS type FROM (SELECT rel, unnest([1, 2]) AS pos FROM facts)) SELECT rel FROM sig GROUP BY rel HAVING NOT bool_or(suffix(type, '+'))""")
+def instance_relations(spark, d):
+    facts = warehouse(spark, d)
+    sig = facts.select("rel", F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).distinct().withColumn("type", F.when(F.col("rel") == "subclass", "Class+").otherwise("Entity"))
+    return taxonomy.instance_relations(facts.select("rel").distinct(), sig)
+
+
+@query("SELECT DISTINCT a1 AS term FROM facts WHERE rel IN ('involves', 'soldBy', 'orderedBy') AND a2 = 'S3'")
+def expanded_node(spark, d):
+    return taxonomy.expand(warehouse(spark, d), "S3", "involves")
+
+
+@query("""m AS (SELECT r_name AS child, 'map_' || r_name AS term FROM region UNION ALL SELECT n_name, 'map_' || n_name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'Entity', 'top'),
+e AS (SELECT a1 AS child, a2 AS parent FROM facts WHERE rel IN ('subclass', 'instance')),
+r AS (SELECT child, child AS at_, 0 AS steps FROM (SELECT child FROM e UNION SELECT parent FROM e) UNION SELECT r.child, e.parent, steps + 1 FROM r JOIN e ON e.child = at_ WHERE at_ NOT IN (SELECT child FROM m))
+SELECT r.child, arg_min(m.term, (steps, m.term)) AS term, min(steps)::INT AS steps FROM r JOIN m ON m.child = at_ GROUP BY r.child""", recursive=True)
+def nearest_mappings(spark, d):
+    facts = warehouse(spark, d)
+    to = lambda df, c: df.select(F.col(c).alias("child"), F.concat(F.lit("map_"), c).alias("term"))
+    mapped = to(_t(spark, d, "region"), "r_name").unionByName(to(_t(spark, d, "nation").filter("n_nationkey % 2 = 0"), "n_name")).unionByName(spark.createDataFrame([("Entity", "top")], "child string, term string"))
+    return taxonomy.nearest_mapped(taxonomy.edges(facts, "subclass").unionByName(taxonomy.edges(facts, "instance")), mapped)
+
+
+# --- more of strings and words -------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, lower(p[1]) || p[2:] AS relation, list_aggregate([w[1] || lower(w[2:]) FOR w IN string_split(x, '_')], 'string_agg', '') AS term, CASE WHEN p LIKE '5%' THEN 'low' WHEN p LIKE '%U%' THEN 'urgent' ELSE '' END AS level,
+[w FOR w IN string_split(p, '-') IF regexp_full_match(w, '[0-9]+')] AS kept, [w FOR w IN string_split(p, '-') IF NOT regexp_full_match(w, '[0-9]+')] AS others
+FROM (SELECT o_orderkey, o_orderpriority AS p, replace(replace(o_orderpriority, '-', '_'), ' ', '_') AS x FROM orders)""", facts=False)
+def identifiers(spark, d):
+    p = F.col("o_orderpriority")
+    parts = F.split(p, "-")
+    return _t(spark, d, "orders").select("o_orderkey", st.relation_id(p).alias("relation"), st.all_caps_id(F.regexp_replace(p, "[- ]", "_")).alias("term"), st.pattern_value([("5.*", "low"), (".*U.*", "urgent")], p).alias("level"), st.retained(parts, "[0-9]+").alias("kept"), st.retained(parts, "[0-9]+", True).alias("others"))
+
+
+_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents"
+
+
+@query(f"""SELECT word, CASE WHEN regexp_matches(word, '[^aeiou]y$') THEN word[:-2] || 'ies' WHEN regexp_matches(word, '(s|x|ch|sh|z)$') OR word = 'go' THEN word || 'es' WHEN word = 'be' THEN 'are' ELSE word || 's' END AS plural, word[1] IN ('a', 'e', 'i', 'o', 'u') AS vowel FROM ({_WORDS})""", facts=False)
+def verb_plurals(spark, d):
+    words = text.term_counts(_t(spark, d, "documents"), "doc_id").select(F.col("term").alias("word")).distinct()
+    return words.select("word", st.verb_plural(F.col("word")).alias("plural"), st.is_vowel(F.substring("word", 1, 1)).alias("vowel"))
+
+
+@query(f"""WITH w AS ({_WORDS}), known AS (SELECT word AS root FROM w WHERE length(word) % 2 = 0), e AS (SELECT * FROM (VALUES ('was', 'be'), ('went', 'go'), ('are', 'be')) v(word, root)),
+r AS (SELECT * FROM (VALUES ('s', '', 0), ('es', '', 1), ('ies', 'y', 2), ('ed', '', 3), ('ed', 'e', 4), ('ing', 'e', 5), ('ing', '', 6), ('', '', 7)) v(ending, form, i)),
+t AS (SELECT word, left(word, length(word) - length(ending)) || form AS root, i FROM w JOIN r ON suffix(word, ending)), b AS (SELECT word, arg_min(root, i) AS root FROM t JOIN known USING (root) GROUP BY word)
+SELECT w.word, coalesce(e.root, b.root) AS root FROM w LEFT JOIN e USING (word) LEFT JOIN b USING (word)""", facts=False)
+def verb_roots(spark, d):
+    words = text.term_counts(_t(spark, d, "documents"), "doc_id").select(F.col("term").alias("word")).distinct()
+    exceptions = spark.createDataFrame([("was", "be"), ("went", "go"), ("are", "be")], "form string, root string")
+    return lexicon.verb_root(words, exceptions, words.filter("length(word) % 2 = 0"))
+
+
+@query(f"""WITH {_TOKENS}, concepts AS (SELECT * FROM (VALUES ('the', 'Article'), ('der', 'Article'), ('idiot', 'Insult'), ('clown', 'Insult'), ('est', 'Being')) v(word, concept)), n AS (SELECT concept, count(*) AS n FROM words JOIN concepts ON term = word WHERE concept <> 'Being' GROUP BY concept)
+SELECT concept, n, (row_number() OVER (ORDER BY n DESC, concept))::INT AS place FROM n""", facts=False)
+def top_concepts(spark, d):
+    return text.concept_histogram(text.term_counts(_t(spark, d, "documents"), "doc_id"), spark.createDataFrame(CONCEPTS, "word string, concept string"), ["Being"], 5)
+
+
+_KINDS_OF_SENSES = [("the", "the_n", 1, 1, "of", 3), ("the", "the_n", 1, 1, "and", 1), ("the", "the_v", 2, 1, "to", 4), ("la", "la_n", 1, 1, "de", 2), ("la", "la_v", 2, 1, "que", 4)]
+
+
+@query(f"""WITH {_TOKENS}, t AS (SELECT DISTINCT doc_id, term FROM words), senses AS (SELECT * FROM (VALUES {', '.join(map(str, _KINDS_OF_SENSES))}) v(word, sense, kind, o, companion, n)),
+s AS (SELECT x.doc_id, word, sense, kind, sum(n)::BIGINT AS total FROM t x JOIN senses ON x.term = word JOIN t y ON y.doc_id = x.doc_id AND y.term = companion GROUP BY ALL)
+SELECT doc_id, word, sense, kind::INT AS kind, total FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY total DESC, kind DESC) AS place FROM s) WHERE place = 1 AND total > 3""", facts=False)
+def senses_across_kinds(spark, d):
+    words = text.term_counts(_t(spark, d, "documents"), "doc_id").withColumnRenamed("term", "word")
+    senses = spark.createDataFrame(_KINDS_OF_SENSES, "word string, sense string, kind int, sense_order int, companion string, n long")
+    return text.best_across_kinds(words, "doc_id", F.broadcast(senses), 3)
+
+
+@query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events", facts=False)
+def json_members(spark, d):
+    return lexicon.json_pairs(_t(spark, d, "events"), "event_id", "props")
+
+
+# --- more of files and formulas ------------------------------------------------------------------------------------
+
+
+@query("SELECT unnest(['(hasName C' || c_custkey || ' \"' || c_name || '\")', '(inSegment C' || c_custkey || ' \"' || c_mktsegment || '\")']) AS value FROM customer", facts=False)
+def cell_statements(spark, d):
+    return exports.statements(_t(spark, d, "customer").withColumn("key", F.concat(F.lit("C"), F.col("c_custkey").cast("string"))), "key", {"c_name": "hasName", "c_mktsegment": "inSegment"})
+
+
+@query("""w AS (SELECT rel, max((a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT + (a3 IS NOT NULL)::INT + (a4 IS NOT NULL)::INT) AS n FROM facts GROUP BY rel)
+SELECT 'create table ' || rel || ' (' || list_aggregate(['a' || i || ' varchar /* Entity */' FOR i IN range(1, n + 1)], 'string_agg', ', ') || ');' AS value FROM w""")
+def table_definitions(spark, d):
+    signature = taxonomy.valence(warehouse(spark, d)).select("rel", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pos"), F.lit("Entity").alias("type"))
+    return exports.table_definitions(signature)
+
+
+@query("SELECT DISTINCT rel, a1, a2 FROM facts WHERE rel IN ('instance', 'subclass', 'brand') AND NOT a2 LIKE '%#%'")
+def tptp_round_trip(spark, d):
+    facts = warehouse(spark, d).filter("rel IN ('instance', 'subclass', 'brand') AND NOT a2 LIKE '%#%'")
+    made = exports.tptp_file(facts.select(kif.fact_text(facts).alias("text"), F.col("rel").alias("head"), "src", F.lit(1).alias("start_line")))
+    return exports.tptp_atoms(made).select("rel", F.col("args")[0].alias("a1"), F.col("args")[1].alias("a2"))
+
+
+def _order_rules(spark, d) -> DataFrame:
+    """(id, text): a rule an order, quantified in vain for every third."""
+    key = F.col("o_orderkey").cast("string")
+    vain = F.when(F.col("o_orderkey") % 3 == 0, "?W").otherwise("?X")
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("(exists ("), vain, F.lit(") (orderedBy O"), key, F.lit(" ?X))")).alias("text"))
+
+
+@query("SELECT o_orderkey AS id, ['?W'] AS variables FROM orders WHERE o_orderkey % 3 = 0", facts=False)
+def quantified_in_vain(spark, d):
+    return diagnostics.quantified_in_vain(_order_rules(spark, d)).select("id", "variables")
+
+
+@query("SELECT o_orderkey AS id, '(exists (' || CASE WHEN o_orderkey % 3 = 0 THEN '?W' ELSE '?X' END || ') (orderedBy Some ?X))' AS text FROM orders", facts=False)
+def replaced_terms(spark, d):
+    return _order_rules(spark, d).select("id", fo.replaced(F.col("text"), "O[0-9]+", "Some").alias("text"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN [['?A', 'O' || o_orderkey], ['?B', 'C' || o_custkey]] END AS bound FROM orders", facts=False)
+def unifiers(spark, d):
+    o, c = F.concat(F.lit("O"), F.col("o_orderkey").cast("string")), F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    left = F.when(F.col("o_orderkey") % 2 == 0, "(orderedBy ?A (by ?B))").otherwise("(orderedBy ?A (by ?A))")
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), fo.unifier(left, F.concat(F.lit("(orderedBy "), o, F.lit(" (by "), c, F.lit("))"))).alias("bound"))
+
+
+@query("""SELECT o_orderkey AS id, unnest(['(forall (?Y) (=> (instance ?Y Person) (=> (orderedBy O' || o_orderkey || ' ?Y) (list_3 a b ?Y))))', '(forall (?Y) (=> (instance ?Y Person) (=> (soldBy O' || o_orderkey || ' ?Y) (list_3 a b ?Y))))']) AS text FROM orders""", facts=False)
+def preprocessed_rules(spark, d):
+    rules = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("(=> (?REL O"), F.col("o_orderkey").cast("string"), F.lit(" ?Y) (list a b ?Y))")).alias("text"))
+    signature = {("orderedBy", 2): "Person", ("soldBy", 2): "Person", ("contains", 2): "Part"}
+    made = fo.preprocess(F.col("text"), {"orderedBy": 2, "soldBy": 2, "contains": 4}, signature, {}, frozenset({"list"}))
+    return rules.select("id", F.explode(made).alias("text"))

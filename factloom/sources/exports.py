@@ -101,3 +101,23 @@ def paraphrase(facts: DataFrame, templates: DataFrame) -> DataFrame:
     for i, a in enumerate(ARGS, 1):
         text = F.replace(text, F.lit(f"%{i}"), F.coalesce(a, F.lit("")))
     return facts.join(F.broadcast(templates), "rel").select("rel", "a1", "a2", F.trim(F.regexp_replace(text, " +", " ")).alias("text"))
+
+
+def statements(rows: DataFrame, key: str, relations: dict[str, str]) -> DataFrame:
+    """(value): a fact for each cell of a table that isn't null, (relation key "cell"), by columns' relations."""
+    cell = lambda c, rel: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"({rel} "), F.col(key), F.lit(' "'), F.regexp_replace(F.col(c).cast("string"), r'(["\\])', r"\\$1"), F.lit('")')))
+    return rows.select(F.explode(F.array_compact(F.array(*(cell(c, r) for c, r in relations.items())))).alias("value"))
+
+
+def table_definitions(domains: DataFrame) -> DataFrame:
+    """(value): a table's definition for each relation of (rel, pos, type), a column an argument, in their order."""
+    columns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda x: F.concat(F.lit("a"), x["pos"].cast("string"), F.lit(" varchar /* "), x["type"], F.lit(" */"))), ", ")
+    return domains.groupBy("rel").agg(columns.alias("c")).select(F.concat(F.lit("create table "), "rel", F.lit(" ("), "c", F.lit(");")).alias("value"))
+
+
+def tptp_atoms(lines: DataFrame) -> DataFrame:
+    """(name, rel, args) of the ground atoms among annotated TPTP formulas (value): names lose their prefix, quoted ones
+    their quotes."""
+    take = lambda k: F.regexp_extract("value", r"^fof\((\w+),\w+,\((?:s__)?(\w+)\((.*)\)\)\)\.$", k)
+    args = F.transform(F.regexp_extract_all(take(3), F.lit(r"'[^']*'|[^,']+"), F.lit(0)), lambda a: F.regexp_replace(a, "^s__|^'|'$", ""))
+    return lines.filter(take(1) != "").select(take(1).alias("name"), take(2).alias("rel"), args.alias("args"))

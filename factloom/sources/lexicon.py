@@ -95,3 +95,19 @@ def interchange(text: str) -> list[list[str]]:
         elif rows:
             rows[-1].append(value.strip('"') if kind == "1" else number)
     return rows
+
+
+def verb_root(words: DataFrame, exceptions: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, root): the exception's root, else the first known form by the rules, else the word itself if it is known."""
+    ends = [("s", ""), ("es", ""), ("ies", "y"), ("ed", ""), ("ed", "e"), ("ing", "e"), ("ing", ""), ("", "")]
+    rules = F.array(*(F.struct(F.lit(a).alias("end"), F.lit(b).alias("by"), F.lit(i).alias("i")) for i, (a, b) in enumerate(ends)))
+    tried = words.select("word", F.explode(rules).alias("r")).filter(F.expr("endswith(word, r.end)"))
+    tried = tried.select("word", F.expr("concat(left(word, length(word) - length(r.end)), r.by)").alias("root"), F.col("r.i").alias("i"))
+    best = tried.join(known.select(F.col("word").alias("root")).distinct(), "root", "left_semi").groupBy("word").agg(F.min_by("root", "i").alias("r"))
+    return words.join(exceptions.select(F.col("form").alias("word"), F.col("root").alias("x")), "word", "left").join(best, "word", "left").select("word", F.coalesce("x", "r").alias("root"))
+
+
+def json_pairs(lines: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, value): the members of JSON objects, one a row; text that is no object has none."""
+    pairs = F.from_json(text, "map<string,string>")
+    return lines.select(key, F.explode(pairs).alias("name", "value"))
