@@ -161,7 +161,7 @@ def _luhn(s):
 def test_op4(spark, docs):
     values = ["4111111111111111", "4111 1111 1111 1111", "4111111111111112", "+1 (743) 555-3824", "743-555-3824", "123-45-6789", "666-45-6789", "10.0.255.1", "300.1.1.1", "2024-02-29", "2023-02-29", "31.12.1999", "12/31/1999", "jane.doe7@example.com", "version 1.2.3", "$12.50"]
     rows = [(i, f"see {v}, or ({v})!") for i, v in enumerate(values)] + [(90, None), (91, ""), (92, "clean text 2024 and 12 words"), (90, None)]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), pii.TEST_KEY).collect()}
     new = {v: re.fullmatch(r"see (.*), or \((.*)\)!", got[i].text, re.S).groups() for i, v in enumerate(values)}
     assert all(a == b for a, b in new.values())
     new = {v: a for v, (a, _) in new.items()}
@@ -173,22 +173,22 @@ def test_op4(spark, docs):
     assert re.sub(r"\D", "", new["+1 (743) 555-3824"])[1:] == re.sub(r"\D", "", new["743-555-3824"])
     assert all(int(x) < 256 for x in new["10.0.255.1"].split("."))
     assert (got[90].text, got[91].text, got[92].text, got[0].n_found, got[92].n_found) == (None, "", rows[-2][1], 2, 0)
-    plain = pii.pseudonymise(docs)
+    plain = pii.pseudonymise(docs, pii.TEST_KEY)
     assert plain.columns == [*docs.columns, "n_found"] and plain.count() == len(_docs())
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.limit(0), pii.TEST_KEY).count() == 0
 
 
 def test_op4_is_a_permutation(spark):
     days = spark.range(3000).selectExpr("date_format(date_add(date'1995-01-01', cast(id AS int)), 'yyyy-MM-dd') AS text")
     cards = spark.range(2000).selectExpr("concat(lpad(cast(id AS string), 3, '0'), '-12-', lpad(cast(id + 1 AS string), 4, '0')) AS text").filter("text NOT LIKE '666%' AND text NOT LIKE '000%' AND length(text) = 11")
     for t in (days, cards):
-        got = pii.pseudonymise(t)
+        got = pii.pseudonymise(t, pii.TEST_KEY)
         assert got.select("text").distinct().count() == t.count() == got.filter("n_found <= 1").count()
 
 
 def test_op4_phones_of_all_codes_and_countries(spark):
     values = ["+1 (017) 555-7713", "+1 (132) 555-1352", "017-155-7713", "+10175557713", "+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+49 30 1234567", "+353 1 234 5678", "+1 17 12"]
-    got = pii.pseudonymise(spark.createDataFrame([(i, f"call {v}, or ({v})!") for i, v in enumerate(values)], "doc_id long, text string")).collect()
+    got = pii.pseudonymise(spark.createDataFrame([(i, f"call {v}, or ({v})!") for i, v in enumerate(values)], "doc_id long, text string"), pii.TEST_KEY).collect()
     new = {values[r.doc_id]: re.fullmatch(r"call (.*), or \((.*)\)!", r.text).groups() for r in got}
     assert all(a == b for a, b in new.values())
     new = {v: a for v, (a, _) in new.items()}
@@ -198,14 +198,14 @@ def test_op4_phones_of_all_codes_and_countries(spark):
     assert digits["+1 (017) 555-7713"] == digits["+10175557713"] and digits["+44 20 7946 0958"] == digits["+442079460958"]
     assert [digits[v][:n] for v, n in (("+44 20 7946 0958", 2), ("+49 30 1234567", 2), ("+353 1 234 5678", 3))] == ["44", "49", "353"]
     area = spark.range(1000).selectExpr("concat(lpad(cast(id AS string), 3, '0'), '-155-7713') AS text")
-    assert pii.pseudonymise(area).filter("n_found <= 1").select("text").distinct().count() == 1000
+    assert pii.pseudonymise(area, pii.TEST_KEY).filter("n_found <= 1").select("text").distinct().count() == 1000
 
 
 def test_op4_cards_beside_other_numbers(spark):
     card, other = "4111 1111 1111 1111", "5500 0000 0000 0004"
     forms = ["{} 12/25", "{} 123", "7 {}", "{} 2024-02-29", "{} 123-45-6789", "{} 212 555 0123", "12 {} 12 34", "1234 {} 12", "{} " + other]
     rows = [(i, "pay " + f.format(card)) for i, f in enumerate(forms)] + [(20, card), (21, "41 11 11 11 11 11 11 11"), (22, "1 2 " * 2_000), (23, "1" * 50_000), (24, other), (25, "pay 1 2 3 4 5 6 7 8 9 1 2 3")]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), pii.TEST_KEY).collect()}
     new = got[20].text
     assert new != card and _luhn(new.replace(" ", "")) and got[21].text.replace(" ", "") == new.replace(" ", "")
     for i, f in enumerate(forms):
