@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, chat, decontaminate, jaccard, language, lm, pii, quality, substring, toxicity
+from factloom.llm import bpe, chat, decontaminate, embedding_join, jaccard, language, lm, periodic, pii, quality, substring, toxicity, whitening
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_lm_score": lm.query,
     "op9_substring_dedup": substring.query,
     "op10_quality_rules": quality.query,
+    "op11_whitening": whitening.query,
+    "op12_embedding_join": embedding_join.query,
+    "op13_periodic_runs": periodic.query,
 }
 ORACLE = {
     "op2_decontaminate": decontaminate.SQL,
     "op7_jaccard_join": jaccard.SQL,
     "op9_substring_dedup": substring.SQL,
+    "op12_embedding_join": embedding_join.SQL,
 }
