@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from factloom.queries import ORACLE, QUERIES
+from factloom.rule_queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
