@@ -3,7 +3,7 @@
 A rolling hash over the last SPAN bytes cuts every text where its low bits are nil, so that equal passages fall into
 equal chunks whatever stands before them. Chunks that documents share are encoded once: the SHARED most frequent ones
 over all documents by one task each, their codes are broadcast (SHARED bounds them), and the others once a task, in a
-dictionary that is emptied at CACHE_BYTES. A cut may fall within a word. So each join is repaired: the pieces on both
+dictionary that is emptied at CACHE_BYTES; so is that of pieces at PIECE_BYTES. A cut may fall within a word. So each join is repaired: the pieces on both
 sides are glued and encoded anew with a neighbour on either side; where the neighbours' codes don't agree with those that
 the chunks hold, the whole text is encoded instead. A chunk's inside is put together from its pieces' codes.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,11 @@ SPAN = 16
 CHUNK_BITS = 11
 SHARED = 4096
 CACHE_BYTES = 24 << 20
-CACHE_PIECES = 200_000
+PIECE_BYTES = 72 << 20
 _TOGETHER, _SLICE = 4096, 1 << 20
+_PLAIN = 512
+#: ASCII signs but the apostrophe, which contractions have.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary() -> str:
@@ -75,8 +79,17 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+def least_words(piece: bytes) -> int:
+    """1 for letters, 2 for letters with signs behind them, and 0 where nothing is known."""
+    text = piece.decode()
+    if text.isalpha():
+        return 1
+    return 2 if text.rstrip(SIGNS).isalpha() else 0
+
+
 class Coder:
-    """Codes of pieces, chunks and texts. A code: number of tokens, ids as 32-bit little-endian bytes, decoded bytes."""
+    """Codes of pieces, chunks and texts. A code is the ids as little-endian 32-bit numbers; what they decode to is put together
+    from the vocabulary where a text is whole."""
 
     def __init__(self, path: str, shared: dict[bytes, tuple]) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,28 +98,57 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokens: dict[int, str] = {}
+        self.spelled = [b""] * (max(self.tokenizer.get_vocab().values(), default=-1) + 1)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spelled[i] = token.encode()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Tokens that end a word, where the vocabulary marks them and letters are words apart from signs.
+        self.ends = np.array([t.endswith(suffix.encode()) for t in self.spelled]) if suffix else None
+        if suffix and self.ends[np.frombuffer(self.library([b"a, b"])[0], "<u4")].sum() != 3:
+            self.ends = None
         self.shared, self.own, self.own_bytes = shared, {}, 0
-        self.pieces: dict[bytes, tuple[int, bytes, bytes]] = {b"": (0, b"", b"")}
-
-    def library(self, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        out = []
-        for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
-            ids = x.ids
-            out.append((len(ids), np.array(ids, "<u4").tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False).encode()))
-        return out
+        self.pieces: dict[bytes, bytes] = {b"": b""}
+        self.piece_bytes = 0
+
+    def library(self, texts: list[bytes]) -> list[bytes]:
+        return [struct.pack(f"<{len(x)}I", *x.ids) for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def words(self, pieces: list[bytes], each: int) -> list[bytes]:
+        """Codes of pieces of at least `each` words: encoded as one text and cut behind each word's last token. There are as many
+        words as that only if each piece has no more; else every piece is encoded by itself."""
+        (whole,) = self.library([b" ".join(pieces)])
+        at = 4 * np.flatnonzero(self.ends[np.frombuffer(whole, "<u4")]) + 4
+        if len(at) != each * len(pieces):
+            return self.library(pieces)
+        at = at[each - 1 :: each].tolist()
+        return [whole[a:b] for a, b in zip([0, *at], at, strict=False)]
+
+    def decoded(self, code: bytes) -> bytes:
+        ids = np.frombuffer(code, "<u4").tolist()
+        if self.tokenizer.decoder is not None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False).encode()
+        return b" ".join([self.spelled[i] for i in ids])
 
     def learn(self, pieces: set[bytes]) -> None:
         if new := [p for p in pieces if p not in self.pieces]:
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces} | {b"": (0, b"", b"")}
-            for k in range(0, len(new), _TOGETHER):  # the library's own objects are large
-                part = new[k : k + _TOGETHER]
-                self.pieces.update(zip(part, self.library(part), strict=True))
-
-    def piece(self, p: bytes) -> tuple[int, bytes, bytes]:
+            if self.piece_bytes > PIECE_BYTES:
+                self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces} | {b"": b""}
+                self.piece_bytes = sum(200 + len(p) + len(c) for p, c in self.pieces.items())
+            kinds: tuple[list[bytes], ...] = ([], [], [])
+            for p in new:
+                kinds[least_words(p) if self.ends is not None else 0].append(p)
+            for each, ps in enumerate(kinds):
+                run = _PLAIN if each else _TOGETHER
+                for k in range(0, len(ps), run):  # the library's own objects are large
+                    part = ps[k : k + run]
+                    codes = self.words(part, each) if each else self.library(part)
+                    self.pieces.update(zip(part, codes, strict=True))
+                    self.piece_bytes += sum(map(len, codes)) + sum(map(len, part)) + 200 * len(codes)
+
+    def piece(self, p: bytes) -> bytes:
         if (got := self.pieces.get(p)) is None:
             got = self.pieces[p] = self.library([p])[0]
+            self.piece_bytes += 200 + len(p) + len(got)
         return got
 
     def chunk(self, pieces: list[bytes]) -> tuple:
@@ -114,11 +156,15 @@ class Coder:
         if len(pieces) == 1:
             return (pieces[0],)
         inner = [p for p in pieces[1:-1] if p]
-        codes = [self.piece(p) for p in inner]
-        return pieces[0], joined(codes), pieces[-1], inner[0] if inner else b"", inner[-1] if inner else b""
+        known = self.pieces
+        return pieces[0], b"".join([known[p] for p in inner]), pieces[-1], inner[0] if inner else b"", inner[-1] if inner else b""
+
+    def encode(self, texts: list[list[bytes]]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Number of tokens, code and decoded bytes of texts given as their chunks."""
+        for code in self.codes(texts):
+            yield len(code) // 4, code, self.decoded(code)
 
-    def encode(self, texts: list[list[bytes]]) -> list[tuple[int, bytes, bytes]]:
-        """Codes of texts given as their chunks."""
+    def codes(self, texts: list[list[bytes]]) -> list[bytes]:
         keys = [[digest(c) if len(c) > SPAN else c for c in t] for t in texts]
         split = {k: c.replace(b"\n", b" ").split(b" ") for t, ks in zip(texts, keys, strict=True) for c, k in zip(t, ks, strict=True) if k not in self.shared and k not in self.own}
         self.learn({p for ps in split.values() for p in ps[1:-1]})
@@ -126,32 +172,30 @@ class Coder:
             self.own, self.own_bytes = {k: self.own[k] for ks in keys for k in ks if k in self.own}, 0
         for k, ps in split.items():
             self.own[k] = got = self.chunk(ps)
-            self.own_bytes += 200 + (len(got[1][1]) + len(got[1][2]) if len(got) > 1 else len(got[0]))
-        out = []
-        for t, ks in zip(texts, keys, strict=True):
+            self.own_bytes += 250 + len(got[1] if len(got) > 1 else got[0])
+        out, joins, of = [], [], []
+        for i, ks in enumerate(keys):
             codes, carry, left = [], b"", b""
             for k in ks:
                 c = self.shared.get(k) or self.own[k]
                 carry += c[0]
                 if len(c) > 1:
-                    if codes and not self.agrees(left, carry, c[3]):
-                        codes = None
-                        break
+                    if codes:
+                        joins.append((left, carry, c[3]))
+                        of.append(i)
                     codes += [self.piece(carry), c[1]]
                     left, carry = c[4] or carry, c[2]
-            out.append(self.library([b"".join(t)])[0] if codes is None else joined([*codes, self.piece(carry)]))
+            out.append(b"".join([*codes, self.piece(carry)]))
+        for i in {i for i, ok in zip(of, self.agree(joins), strict=True) if not ok}:
+            out[i] = self.library([b"".join(texts[i])])[0]
         return out
 
-    def agrees(self, left: bytes, glued: bytes, right: bytes) -> bool:
-        """Whether the repaired join, encoded with its neighbours, has the codes that these have apart. The window
-        of one neighbour on each side is the widest short of the whole text that can differ, as no code reaches
-        across a space."""
-        whole = b" ".join((left, glued, right))
-        return self.library([whole])[0][1] == b"".join(self.piece(p)[1] for p in (left, glued, right))
-
-
-def joined(codes: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-    return sum(c[0] for c in codes), b"".join(c[1] for c in codes), b" ".join(c[2] for c in codes if c[0])
+    def agree(self, joins: list[tuple[bytes, bytes, bytes]]) -> list[bool]:
+        """Whether repaired joins (left neighbour, glued piece, right neighbour), encoded with their neighbours, have the codes that these have
+        apart. The window of one neighbour on each side is the widest short of the whole text that can differ, as no code reaches across a
+        space."""
+        anew = [code for k in range(0, len(joins), _TOGETHER) for code in self.library([b" ".join(j) for j in joins[k : k + _TOGETHER]])]
+        return [code == b"".join([self.piece(p) for p in j]) for code, j in zip(anew, joins, strict=True)]
 
 
 def shared_codes(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes, tuple]:
@@ -191,18 +235,16 @@ def shared_codes(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, {})
         for batch in batches:
-            got = []
-            for c in batch.column("chunk").to_pylist():
-                c = coder.chunk(c.replace(b"\n", b" ").split(b" "))
-                got.append({"first": c[0]} if len(c) == 1 else {"first": c[0], "n": c[1][0], "ids": c[1][1], "decoded": c[1][2], "last": c[2], "left": c[3], "right": c[4]})
-            kind = pa.struct([("first", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("last", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+            split = [c.replace(b"\n", b" ").split(b" ") for c in batch.column("chunk").to_pylist()]
+            coder.learn({p for ps in split for p in ps[1:-1]})
+            got = [dict(zip(("first", "ids", "last", "left", "right"), coder.chunk(ps), strict=False)) for ps in split]
+            kind = pa.struct([(x, pa.binary()) for x in ("first", "ids", "last", "left", "right")])
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(got, kind)], ["digest", "code"])
 
     texts = docs.select("text").mapInArrow(find, "digest binary, chunk binary").groupBy("digest").agg(F.min("chunk").alias("chunk"))
     out = {}
-    for r in texts.mapInArrow(code, "digest binary, code struct<first:binary,n:long,ids:binary,decoded:binary,last:binary,left:binary,right:binary>").collect():
-        c = r.code
-        out[bytes(r.digest)] = (bytes(c.first),) if c.n is None else (bytes(c.first), (c.n, bytes(c.ids), bytes(c.decoded)), bytes(c["last"]), bytes(c.left), bytes(c.right))
+    for r in texts.mapInArrow(code, "digest binary, code struct<first:binary,ids:binary,last:binary,left:binary,right:binary>").collect():
+        out[bytes(r.digest)] = tuple(bytes(x) for x in r.code if x is not None)
     return out
 
 
@@ -221,13 +263,13 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, most
         coder, codes, n, rest = Coder(path, shared.value), None, None, None
         for batch in batches:
             for r0, r1, buf, offs in W.slices(batch.column("text"), _SLICE):
-                codes = coder.encode(list(chunks(buf, offs)))
-                n = pa.array([c[0] for c in codes], pa.int64())
+                codes = coder.codes(list(chunks(buf, offs)))
+                n = pa.array([len(c) // 4 for c in codes], pa.int64())
                 if digests:
-                    rest = [pa.array([hashlib.sha256(c[k]).hexdigest() for c in codes]) for k in (1, 2)]
+                    rest = [pa.array([hashlib.sha256(x).hexdigest() for x in (f(c) for c in codes)]) for f in (bytes, coder.decoded)]
                 else:
-                    ids = np.frombuffer(b"".join(c[1] for c in codes), "<u4").astype(np.int32)
-                    rest = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([c[0] for c in codes])).astype(np.int32)), pa.array(ids)), pa.array([c[2] for c in codes], pa.binary()).cast(pa.string())]
+                    ids = np.frombuffer(b"".join(codes), "<u4").astype(np.int32)
+                    rest = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(c) // 4 for c in codes])).astype(np.int32)), pa.array(ids)), pa.array([coder.decoded(c) for c in codes], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[r0:r1] for c in keep), n, *rest], [*keep, *names])
         del coder, codes, n, rest
         W.release()
