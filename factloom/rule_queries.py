@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import composites, phrases
+from factloom.operators import composites, consistency, hierarchies, phrases, taxonomy
+from factloom.operators import predicate_variables as pv
 from factloom.operators.facts import warehouse
-from factloom.plans import clauses, congruence, magic
+from factloom.plans import clauses, closure, congruence, magic
 from factloom.queries import ORACLE, QUERIES, _t, query
+from factloom.sources import kif, owl
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -255,3 +259,121 @@ def noun_groups(spark, d):
     w = F.split("p_name", " ")
     nn = _t(spark, d, "part").filter(F.size(w) > 1).select(F.col("p_partkey").alias("sent_id"), F.lit("nn").alias("pred"), F.concat(w[1], F.lit("-2")).alias("arg1"), F.concat(w[0], F.lit("-1")).alias("arg2"))
     return phrases.noun_groups(nn)
+
+
+# --- predicate variables -------------------------------------------------------------------------------------------
+
+
+def _schemata(spark, d) -> tuple[DataFrame, ...]:
+    """Formulas whose heads are variables, one a customer and one a supplier, and one a region without; a relation a part, of two or three arguments, an
+    instance of its brand and of its type."""
+    customer, supplier = _t(spark, d, "customer"), _t(spark, d, "supplier")
+    brand = F.concat(F.lit("Brand#"), (F.col("c_custkey") % 30 + 1).cast("string"))
+    asked = customer.select(_key("c", "c_custkey").alias("formula_id"), F.concat(F.lit("(=> (and (instance ?REL "), brand, F.lit(") (instance ?REL ECONOMY)) (exists (?X) (and (?REL C"), F.col("c_custkey").cast("string"), F.lit(" ?X) (known (kind ?REL) ?X))))")).alias("text"))
+    described = supplier.select(_key("s", "s_suppkey").alias("formula_id"), F.concat(F.lit("(=> (describes ?REL S"), F.col("s_suppkey").cast("string"), F.lit(") (not (?REL S"), F.col("s_suppkey").cast("string"), F.lit(" (at ?X) ?Y)))")).alias("text"))
+    plain = _t(spark, d, "region").select(F.col("r_name").alias("formula_id"), F.concat(F.lit("(subclass "), "r_name", F.lit(" Region)")).alias("text"))
+    formulas = asked.unionByName(described).unionByName(plain)
+    part = _t(spark, d, "part").withColumn("rel", _key("made", "p_partkey"))
+    relations = part.select("rel", (2 + F.col("p_size") % 2).cast("int").alias("arity"))
+    members = part.select("rel", F.col("p_brand").alias("type")).union(part.select("rel", "p_type"))
+    signatures = spark.createDataFrame([("describes", 1, "PROMO")], "rel string, pos int, type string")
+    nodes = closure.cut(kif.nodes(formulas.select("formula_id", "text", F.lit(None).cast("string").alias("error"))))
+    return formulas, nodes, relations, members, signatures
+
+
+@query("""SELECT 'c' || c_custkey AS formula_id, '(=> (and (instance made' || p_partkey || ' ' || p_brand || ') (instance made' || p_partkey || ' ECONOMY)) (exists (?X) (and (made' || p_partkey || ' C' || c_custkey || ' ?X) (known (kind made' || p_partkey || ') ?X))))' AS text
+FROM customer JOIN part ON p_brand = 'Brand#' || (c_custkey % 30 + 1) AND p_type = 'ECONOMY' AND p_size % 2 = 0
+UNION ALL SELECT 's' || s_suppkey, '(=> (describes made' || p_partkey || ' S' || s_suppkey || ') (not (made' || p_partkey || ' S' || s_suppkey || ' (at ?X) ?Y)))' FROM supplier, part WHERE p_type = 'PROMO' AND p_size % 2 = 1
+UNION ALL SELECT r_name, '(subclass ' || r_name || ' Region)' FROM region""", facts=False)
+def instantiated_formulas(spark, d):
+    return pv.instantiated(*_schemata(spark, d))
+
+
+@query("SELECT 'c' || c_custkey AS formula_id, '?REL' AS var FROM customer WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand = 'Brand#' || (c_custkey % 30 + 1) AND p_type = 'ECONOMY' AND p_size % 2 = 0) UNION ALL SELECT 's' || s_suppkey, '?REL' FROM supplier WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_type = 'PROMO' AND p_size % 2 = 1)", facts=False)
+def rejected_formulas(spark, d):
+    _, nodes, relations, members, signatures = _schemata(spark, d)
+    heads, types = pv.requirements(nodes, signatures)
+    heads = closure.cut(heads)
+    return pv.rejected(heads, pv.candidates(heads, types, relations, members))
+
+
+# --- consistency ---------------------------------------------------------------------------------------------------
+
+#: Regions that exclude each other here: neighbours in the order of their names.
+_EXCLUDED = [("AFRICA", "AMERICA"), ("AMERICA", "ASIA"), ("ASIA", "EUROPE"), ("EUROPE", "MIDDLE EAST")]
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT l_orderkey * 10 + l_linenumber AS place, 'P' || l_partkey AS inst, n_name AS class, r_name AS r FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+x AS (SELECT * FROM (VALUES {', '.join(map(str, _EXCLUDED))}) v(a, b)), bad AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x),
+f AS (SELECT inst, class, any_value(r) AS r, min(place) AS place FROM s GROUP BY inst, class), o AS (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY place, class) AS i FROM f),
+b AS (SELECT a, list(b) AS bs FROM bad GROUP BY a),
+walk AS (SELECT inst, class, i, true AS ok, [r] AS held FROM o WHERE i = 1 UNION ALL SELECT o.inst, o.class, o.i, NOT list_has_any(held, coalesce(bs, [])), CASE WHEN list_has_any(held, coalesce(bs, [])) THEN held ELSE list_append(held, r) END FROM walk w JOIN o ON o.inst = w.inst AND o.i = w.i + 1 LEFT JOIN b ON b.a = o.r)
+SELECT s.place, s.inst, s.class, CASE WHEN NOT ok THEN 'refused' WHEN row_number() OVER (PARTITION BY s.inst, s.class ORDER BY s.place) > 1 THEN 'redundant' ELSE 'accepted' END AS verdict FROM s JOIN walk w ON w.inst = s.inst AND w.class = s.class""", facts=False)
+def order_of_assertions(spark, d):
+    """Parts come to be instances of their sellers' nations, line by line."""
+    c = F.col
+    sold = _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")).join(_t(spark, d, "nation"), c("s_nationkey") == c("n_nationkey"))
+    facts = sold.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("place"), _key("P", "l_partkey").alias("inst"), c("n_name").alias("class"))
+    return consistency.verdicts(facts, taxonomy.ancestors(warehouse(spark, d)), spark.createDataFrame(_EXCLUDED, "a string, b string"))
+
+
+# --- one hierarchy against another ---------------------------------------------------------------------------------
+
+
+def _lexical(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Edges and a mapping of a lexicon: customers below nations, nations below regions that are off by the seventh of their number, these below the world."""
+    key = lambda letter, col: F.concat(F.lit(letter), F.expr(col).cast("string"))
+    nation, region, customer = _t(spark, d, "nation"), _t(spark, d, "region"), _t(spark, d, "customer")
+    edges = _all([
+        customer.select(key("c", "c_custkey").alias("child"), key("n", "c_nationkey").alias("parent")), nation.select(key("n", "n_nationkey").alias("child"), key("r", "(n_regionkey + n_nationkey div 7) % 5").alias("parent")),
+        region.select(key("r", "r_regionkey").alias("child"), F.lit("world").alias("parent")),
+    ])
+    mapping = _all([
+        customer.filter("c_custkey % 9 > 0").select(key("c", "c_custkey").alias("node"), F.when(F.col("c_custkey") % 10 == 3, F.concat(F.lit("NATION_"), ((F.col("c_nationkey") + 5) % 25).cast("string"))).otherwise(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))).alias("term")),
+        nation.select(key("n", "n_nationkey").alias("node"), F.col("n_name").alias("term")), region.select(key("r", "r_regionkey").alias("node"), F.col("r_name").alias("term")), spark.createDataFrame([("world", "Region")], "node string, term string"),
+    ])
+    return edges, mapping
+
+
+@query("""up AS (SELECT a1 AS child, a2 AS parent FROM facts WHERE rel = 'subclass' UNION SELECT up.child, f.a2 FROM up JOIN facts f ON f.rel = 'subclass' AND f.a1 = up.parent),
+e AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || (n_regionkey + n_nationkey // 7) % 5 FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
+m AS (SELECT 'c' || c_custkey AS node, 'NATION_' || CASE WHEN c_custkey % 10 = 3 THEN (c_nationkey + 5) % 25 ELSE c_nationkey END AS term FROM customer WHERE c_custkey % 9 > 0 UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region UNION ALL SELECT 'world', 'Region'),
+bad AS (SELECT e.child, e.parent, x.term, y.term AS above FROM e JOIN m x ON x.node = e.child JOIN m y ON y.node = e.parent WHERE x.term <> y.term AND NOT EXISTS (SELECT 1 FROM up WHERE up.child = x.term AND up.parent = y.term)),
+climb AS (SELECT child, parent AS at_, 1 AS steps FROM e WHERE child IN (SELECT child FROM bad) UNION SELECT c.child, e.parent, steps + 1 FROM climb c JOIN e ON e.child = c.at_),
+fit AS (SELECT c.child, c.at_, c.steps FROM climb c JOIN m x ON x.node = c.child JOIN m y ON y.node = c.at_ WHERE x.term = y.term OR EXISTS (SELECT 1 FROM up WHERE up.child = x.term AND up.parent = y.term))
+SELECT bad.*, n.nearest, n.steps FROM bad LEFT JOIN (SELECT child, arg_min(at_, (steps, at_)) AS nearest, min(steps)::INT AS steps FROM fit GROUP BY child) n USING (child)""", recursive=True)
+def hierarchy_disagreements(spark, d):
+    return hierarchies.disagreements(*_lexical(spark, d), taxonomy.ancestors(warehouse(spark, d)))
+
+
+@query("SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 9 = 0", facts=False)
+def unmapped_nodes(spark, d):
+    return hierarchies.unmapped(*_lexical(spark, d))
+
+
+# --- OWL -----------------------------------------------------------------------------------------------------------
+
+
+def _ontology(spark, d) -> DataFrame:
+    """Subclass and instance facts, properties with their signatures, documentation, disjoint regions, and a restriction for each pair of a type and a brand."""
+    facts = warehouse(spark, d).filter("rel IN ('subclass', 'instance')").select("rel", "a1", "a2")
+    row = lambda df, rel, a1, a2: df.select(F.lit(rel).alias("rel"), a1.alias("a1"), a2.alias("a2"))
+    node = F.concat(F.lit("_:"), F.sha2(F.concat_ws("\0", F.lit("brand"), F.lit("someValuesFrom"), F.col("p_brand")), 256).substr(1, 16))
+    pairs = _t(spark, d, "part").select("p_type", "p_brand", node.alias("node")).distinct()
+    regions = _t(spark, d, "region")
+    stated = spark.createDataFrame([("instance", "brand", "BinaryRelation"), ("domain1", "brand", "PartType"), ("domain2", "brand", "Mark"), ("subrelation", "brand", "mark"), ("instance", "above", "TransitiveRelation"), ("documentation", "Region", 'Where <nations> & "customers" are')], "rel string, a1 string, a2 string")
+    restricted = [row(pairs, "subclass", F.col("p_type"), F.col("node")), row(pairs, "onProperty", F.col("node"), F.lit("brand")), row(pairs, "someValuesFrom", F.col("node"), F.col("p_brand"))]
+    return _all([facts, stated, *restricted, row(regions.filter("r_regionkey > 0"), "disjoint", F.col("r_name"), F.lit("AFRICA"))]).distinct()
+
+
+@query("""r AS (SELECT DISTINCT p_type, p_brand, '_:' || sha256('brand' || chr(0) || 'someValuesFrom' || chr(0) || p_brand)[1:16] AS node FROM part)
+SELECT DISTINCT rel, a1, a2 FROM facts WHERE rel IN ('subclass', 'instance') UNION SELECT 'subclass', p_type, node FROM r UNION SELECT 'onProperty', node, 'brand' FROM r UNION SELECT 'someValuesFrom', node, p_brand FROM r UNION SELECT 'disjoint', r_name, 'AFRICA' FROM region WHERE r_regionkey > 0
+UNION SELECT * FROM (VALUES ('instance', 'brand', 'BinaryRelation'), ('domain1', 'brand', 'PartType'), ('domain2', 'brand', 'Mark'), ('subrelation', 'brand', 'mark'), ('instance', 'above', 'TransitiveRelation'), ('documentation', 'Region', 'Where <nations> & "customers" are')) v(rel, a1, a2)""")
+def owl_round_trip(spark, d):
+    """Written, read, written and read again."""
+    facts = _ontology(spark, d)
+    for _ in range(2):
+        path = f"{closure.folder(spark)}/owl-{uuid.uuid4().hex}"
+        owl.write(facts, path)
+        facts = owl.read(spark, path)
+    return facts
