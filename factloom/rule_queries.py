@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import composites, consistency, hierarchies, phrases, taxonomy
+from factloom.operators import composites, consistency, dates, hierarchies, phrases, taxonomy
 from factloom.operators import predicate_variables as pv
 from factloom.operators.facts import warehouse
 from factloom.plans import clauses, closure, congruence, magic
@@ -377,3 +377,26 @@ def owl_round_trip(spark, d):
         owl.write(facts, path)
         facts = owl.read(spark, path)
     return facts
+
+
+# --- dates and measures --------------------------------------------------------------------------------------------
+
+
+@query()
+def dates_in_text(spark, d):
+    """Of all documents and pages."""
+    docs, pages = _t(spark, d, "documents"), _t(spark, d, "pages")
+    return dates.spans(docs.select(_key("d", "doc_id").alias("id"), "text").unionByName(pages.select(_key("p", "page_id").alias("id"), F.col("html").alias("text"))))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS t, o_orderkey % 28 + 2 AS k FROM orders)
+SELECT o_orderkey, kind, at_::INT AS at, n::INT AS n, value, amount, unit FROM (
+SELECT o_orderkey, 'date' AS kind, 3 AS at_, 3 AS n, strftime(t, '%Y-%m-%d') AS value, NULL::DOUBLE AS amount, NULL AS unit FROM o UNION ALL SELECT o_orderkey, 'time', 7, 1, '09:30:00', NULL, NULL FROM o
+UNION ALL SELECT o_orderkey, 'duration', 10, 2, NULL, k, 'day' FROM o UNION ALL SELECT o_orderkey, 'measure', 13, 2, NULL, 2.5 + k, 'kilogram' FROM o UNION ALL SELECT o_orderkey, 'date', 18, 2, strftime(t, 'XXXX-%m-%d'), NULL, NULL FROM o
+UNION ALL SELECT o_orderkey, 'weekday', 20, 1, lower(dayname(t)), NULL, NULL FROM o UNION ALL SELECT o_orderkey, 'relative', 22, 3, strftime((t - to_weeks(k::INT))::DATE, '%Y-%m-%d'), -k, 'week' FROM o UNION ALL SELECT o_orderkey, 'relative', 26, 1, strftime((t + 1)::DATE, '%Y-%m-%d'), 1, 'day' FROM o
+UNION ALL SELECT o_orderkey, 'years', 28, 1, '1990/' || year(t), NULL, NULL FROM o UNION ALL SELECT o_orderkey, 'date', 29, 1, strftime(t, '%Y-%m-%d'), NULL, NULL FROM o)""", facts=False)
+def dates_of_orders(spark, d):
+    t, k = F.col("o_orderdate"), (F.col("o_orderkey") % 28 + 2)
+    on = lambda pattern: F.date_format(t, pattern)
+    words = F.concat(F.lit("It was ordered "), on("d"), F.lit(" "), on("MMMM"), F.lit(", "), on("yyyy"), F.lit(" at 9:30, due in "), k.cast("string"), F.lit(" days: weighs "), (k + 2.5).cast("string"), F.lit(" kg. It was seen "), on("MMM"), F.lit(" "), on("d"), F.lit(" "), on("EEEE"), F.lit(" or "), k.cast("string"), F.lit(" weeks ago and tomorrow for 1990-"), on("yyyy"), F.lit(" "), on("M/d/yyyy"))
+    return dates.spans(_t(spark, d, "orders").select("o_orderkey", words.alias("text")))
