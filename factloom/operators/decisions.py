@@ -61,6 +61,16 @@ def quartiles(df: DataFrame, group: str, value: Column) -> DataFrame:
     return counted.groupBy(group).agg(middle(F.lit(0)).alias("low"), middle(F.col("n") - half).alias("high"))
 
 
+def medians(df: DataFrame, group: str, value: Column) -> DataFrame:
+    """(group, median): the middle one of each group's integers, or the mean of the middle two without its fraction; null for a group without any.
+    Groups are sorted by their different values, with counts."""
+    counted = df.select(group, value.cast("long").alias("v")).groupBy(group, "v").agg(F.count("v").alias("c"))
+    w = Window.partitionBy(group)
+    counted = counted.withColumn("upto", F.sum("c").over(w.orderBy(F.asc_nulls_last("v")))).withColumn("n", F.sum("c").over(w))
+    at = lambda rank: F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
+    return counted.groupBy(group).agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).cast("long").alias("median"))
+
+
 def outside_quartiles(df: DataFrame, group: str, value: Column) -> DataFrame:
     """df and outside: whether a row's value lies outside its group's two medians; null for a null group or value."""
     found = quartiles(df, group, value).withColumnRenamed(group, "__g")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.formula import idle_variables
 from factloom.operators.facts import mentions, terms
 from factloom.operators.taxonomy import ancestors, edges, instances
+from factloom.plans.closure import small
 
 
 def without_relation(facts: DataFrame, rel: str, pos: int) -> DataFrame:
@@ -40,7 +41,7 @@ def children_of_disjoint(facts: DataFrame, disjoint: DataFrame) -> DataFrame:
 def in_no_part(facts: DataFrame, whole: str, parts: DataFrame) -> DataFrame:
     """(inst): instances of a partitioned class that are in none of its parts (part)."""
     members = instances(facts)
-    inside = members.join(F.broadcast(parts), F.col("class") == F.col("part"), "left_semi").select("inst")
+    inside = members.join(small(parts), F.col("class") == F.col("part"), "left_semi").select("inst")
     return members.filter(F.col("class") == whole).select("inst").distinct().join(inside, "inst", "left_anti")
 
 

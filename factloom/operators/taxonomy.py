@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.facts import ARGS, arity
-from factloom.plans.closure import closure, cut, frontier, reachable
+from factloom.plans.closure import Grown, closure, cut, frontier, reachable, small
 
 
 def edges(facts: DataFrame, rel: str) -> DataFrame:
@@ -52,7 +52,7 @@ def disjoint_violations(members: DataFrame, disjoint: DataFrame) -> DataFrame:
 def related(facts: DataFrame, rel: str, inverse: dict[str, str] | None = None) -> DataFrame:
     """(a1, a2) of the relation and all below it, with inverse relations read backwards."""
     below = frontier(facts.sparkSession.createDataFrame([(rel,)], "term string"), edges(facts, "subrelation"))
-    found = facts.join(F.broadcast(below.withColumnRenamed("term", "rel")), "rel", "left_semi").select("a1", "a2")
+    found = facts.join(small(below.withColumnRenamed("term", "rel")), "rel", "left_semi").select("a1", "a2")
     for of, by in (inverse or {}).items():
         swapped = below.filter(F.col("term") == of).select(F.lit(by).alias("rel"))
         found = found.unionByName(facts.join(swapped, "rel", "left_semi").select(F.col("a2").alias("a1"), F.col("a1").alias("a2")))
@@ -83,7 +83,7 @@ def valence(facts: DataFrame) -> DataFrame:
 
 def arity_errors(facts: DataFrame, valences: DataFrame) -> DataFrame:
     """Facts whose number of arguments isn't their relation's."""
-    return facts.join(F.broadcast(valences), "rel").filter(arity() != F.col("n")).select("rel", *ARGS, "n")
+    return facts.join(small(valences), "rel").filter(arity() != F.col("n")).select("rel", *ARGS, "n")
 
 
 def inherit_signatures(domains: DataFrame, subrelation: DataFrame) -> DataFrame:
@@ -93,19 +93,20 @@ def inherit_signatures(domains: DataFrame, subrelation: DataFrame) -> DataFrame:
     """
     rels = domains.select("rel").union(subrelation.select("child")).distinct()
     up = rels.select(F.col("rel").alias("child"), F.col("rel").alias("at"), F.lit(0).alias("d"))
-    level, frontier_ = 0, up
-    while not frontier_.isEmpty():
+    seen, level = Grown(domains.sparkSession), 0
+    open_ = seen.add(up)
+    while not open_.isEmpty():
         level += 1
-        frontier_ = frontier_.join(subrelation.select(F.col("child").alias("at"), "parent"), "at").select("child", F.col("parent").alias("at"), F.lit(level).alias("d")).distinct().join(up, ["child", "at"], "left_anti")
-        up = up.unionByName(frontier_)
-    found = up.join(domains.withColumnRenamed("rel", "at"), "at")
+        step = open_.join(subrelation.select(F.col("child").alias("at"), "parent"), "at").select("child", F.col("parent").alias("at"), F.lit(level).alias("d")).distinct()
+        open_ = seen.add(step.join(seen.all(), ["child", "at"], "left_anti"))
+    found = seen.all().join(domains.withColumnRenamed("rel", "at"), "at")
     return found.groupBy(F.col("child").alias("rel"), "pos").agg(F.min(F.struct("d", "type")).alias("m")).select("rel", "pos", F.col("m.type").alias("type"))
 
 
 def admissible(valences: DataFrame, signatures: DataFrame, n: int, required: DataFrame) -> DataFrame:
     """Relations of arity n whose signature has every required (pos, type): relational division."""
     of_arity = valences.filter(F.col("n") == n).select("rel")
-    missing = of_arity.crossJoin(F.broadcast(required)).join(signatures, ["rel", "pos", "type"], "left_anti")
+    missing = of_arity.crossJoin(small(required)).join(signatures, ["rel", "pos", "type"], "left_anti")
     return of_arity.join(missing, "rel", "left_anti")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.strings import tokens
+from factloom.plans.closure import small
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
@@ -48,7 +49,7 @@ def polarity(strength: Column, sign: Column) -> Column:
 def sentiment(docs: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """(key, score): summed polarity (word, polarity) of the words; 0 without any."""
     words = docs.select(key, F.explode(tokens(F.col("text"))).alias("word"))
-    scored = words.join(F.broadcast(lexicon), "word").groupBy(key).agg(F.sum("polarity").alias("score"))
+    scored = words.join(small(lexicon), "word").groupBy(key).agg(F.sum("polarity").alias("score"))
     return docs.select(key).join(scored, key, "left").select(key, F.coalesce("score", F.lit(0)).alias("score"))
 
 
@@ -57,7 +58,7 @@ def concept_sentiment(docs: DataFrame, key: str, lexicon: DataFrame, concepts: D
     lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "text")).filter("trim(text) <> ''")
     lines = lines.withColumn("sid", F.concat_ws(":", key, "line")).select("sid", "text")
     words = lines.select("sid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    named = words.join(F.broadcast(concepts), "word").select("sid", "concept").distinct()
+    named = words.join(small(concepts), "word").select("sid", "concept").distinct()
     return named.join(sentiment(lines, "sid", lexicon), "sid").groupBy("concept").agg(F.sum("score").alias("score"), F.count("*").alias("sentences"))
 
 
@@ -80,7 +81,7 @@ def coherence(searches: DataFrame, user: str, order: list[str], text: str) -> Da
 def concept_histogram(tf: DataFrame, concepts: DataFrame, stop: list[str], k: int) -> DataFrame:
     """(concept, n, place): the k concepts (word, concept) that words name most often over all texts, but those to be
     left out; by name where they are equal."""
-    counted = tf.join(F.broadcast(concepts), tf["term"] == concepts["word"]).filter(~F.col("concept").isin(*stop)).groupBy("concept").agg(F.sum("tf").alias("n"))
+    counted = tf.join(small(concepts), tf["term"] == concepts["word"]).filter(~F.col("concept").isin(*stop)).groupBy("concept").agg(F.sum("tf").alias("n"))
     top_ = counted.orderBy(F.desc("n"), "concept").limit(k)
     return top_.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "concept")))  # k rows
 

@@ -34,6 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns)).checkpoint()  # new attributes, for later unions
 
 
+#: Rows up to which a side is broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df marked for a broadcast if it has at most so many rows, which are counted; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Grown:
     """A table that grows by rounds. Each round's rows are written once, and read back with those before in one scan,
     so that what is written is as much as the rows, whatever the number of rounds."""

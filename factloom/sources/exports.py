@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql.types import StringType
 from factloom.functions import formula as fo
 from factloom.functions.strings import quote_cell, to_prolog_name
 from factloom.operators.facts import ARGS
-from factloom.plans.closure import numbered
+from factloom.plans.closure import numbered, small
 
 _TPTP = {"and": " & ", "or": " | ", "=>": " => ", "<=>": " <=> "}
 
@@ -22,8 +24,16 @@ def tptp_term(x) -> str:
     if fo.is_variable(x):
         return "V__" + x[1:].replace("-", "_")
     if x[:1] == '"':
-        return "'" + x[1:-1].replace("'", "") + "'"
-    return x if x.lstrip("+-").replace(".", "", 1).isdigit() else "s__" + x.replace("-", "_")
+        return _quoted(re.sub(r"\\(.)", r"\1", x[1:-1]))
+    if x.lstrip("+-").replace(".", "", 1).isdigit():
+        return x
+    name = "s__" + x.replace("-", "_")
+    return name if re.fullmatch("[A-Za-z0-9_]+", name) else _quoted(name)
+
+
+def _quoted(x: str) -> str:
+    """A name that isn't a plain word stands in single quotes, which are escaped within, as is the mark that escapes."""
+    return "'" + re.sub(r"([\\'])", r"\\\1", x) + "'"
 
 
 def tptp_formula(f) -> str:
@@ -100,7 +110,7 @@ def paraphrase(facts: DataFrame, templates: DataFrame) -> DataFrame:
     text = F.regexp_replace("template", r"%n\{[^}]*\}", "")
     for i, a in enumerate(ARGS, 1):
         text = F.replace(text, F.lit(f"%{i}"), F.coalesce(a, F.lit("")))
-    return facts.join(F.broadcast(templates), "rel").select("rel", "a1", "a2", F.trim(F.regexp_replace(text, " +", " ")).alias("text"))
+    return facts.join(small(templates), "rel").select("rel", "a1", "a2", F.trim(F.regexp_replace(text, " +", " ")).alias("text"))
 
 
 def statements(rows: DataFrame, key: str, relations: dict[str, str]) -> DataFrame:
@@ -117,7 +127,10 @@ def table_definitions(domains: DataFrame) -> DataFrame:
 
 def tptp_atoms(lines: DataFrame) -> DataFrame:
     """(name, rel, args) of the ground atoms among annotated TPTP formulas (value): names lose their prefix, quoted ones
-    their quotes."""
-    take = lambda k: F.regexp_extract("value", r"^fof\((\w+),\w+,\((?:s__)?(\w+)\((.*)\)\)\)\.$", k)
-    args = F.transform(F.regexp_extract_all(take(3), F.lit(r"'[^']*'|[^,']+"), F.lit(0)), lambda a: F.regexp_replace(a, "^s__|^'|'$", ""))
-    return lines.filter(take(1) != "").select(take(1).alias("name"), take(2).alias("rel"), args.alias("args"))
+    their quotes and what is escaped in them its mark."""
+    quoted = r"'(?:[^'\\]|\\.)*'"
+    atom = rf"^fof\((\w+),\w+,\(({quoted}|\w+)\(((?:{quoted}|[^'()])*)\)\)\)\.$"
+    plain = lambda c: F.regexp_replace(F.when(c.startswith("'"), F.regexp_replace(c.substr(F.lit(2), F.length(c) - 2), r"\\(.)", "$1")).otherwise(c), "^s__", "")
+    take = lambda k: F.regexp_extract("value", atom, k)
+    args = F.transform(F.regexp_extract_all(take(3), F.lit(rf"{quoted}|[^,']+"), F.lit(0)), plain)
+    return lines.filter(take(1) != "").select(take(1).alias("name"), plain(take(2)).alias("rel"), args.alias("args"))
