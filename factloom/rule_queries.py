@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import composites, consistency, dates, hierarchies, phrases, taxonomy
+from factloom.operators import argument_types, composites, consistency, dates, hierarchies, phrases, taxonomy
 from factloom.operators import predicate_variables as pv
 from factloom.operators.facts import warehouse
 from factloom.plans import clauses, closure, congruence, magic
@@ -400,3 +400,38 @@ def dates_of_orders(spark, d):
     on = lambda pattern: F.date_format(t, pattern)
     words = F.concat(F.lit("It was ordered "), on("d"), F.lit(" "), on("MMMM"), F.lit(", "), on("yyyy"), F.lit(" at 9:30, due in "), k.cast("string"), F.lit(" days: weighs "), (k + 2.5).cast("string"), F.lit(" kg. It was seen "), on("MMM"), F.lit(" "), on("d"), F.lit(" "), on("EEEE"), F.lit(" or "), k.cast("string"), F.lit(" weeks ago and tomorrow for 1990-"), on("yyyy"), F.lit(" "), on("M/d/yyyy"))
     return dates.spans(_t(spark, d, "orders").select("o_orderkey", words.alias("text")))
+
+
+# --- types of arguments --------------------------------------------------------------------------------------------
+
+
+def _typed(spark, d) -> DataFrame:
+    """A rule an order, in the words of its customer's nation: who orders believes to have paid. Orders are instances of their status, and a status is an order's."""
+    c = F.col
+    o = _t(spark, d, "orders").join(_t(spark, d, "customer"), c("o_custkey") == c("c_custkey")).withColumn("key", c("o_orderkey").cast("string")).withColumn("at", c("c_nationkey").cast("string"))
+    lit = F.lit
+    text = F.concat(lit("(=> (orderedIn"), "at", lit(" O"), "key", lit(" ?C) (believes"), "at", lit(" ?C (not (paid"), "at", lit(" ?C (priceOf O"), "key", lit(") "), F.round("o_totalprice").cast("long").cast("string"), lit("))))"))
+    formulas = o.select(c("key").alias("formula_id"), text.alias("text"), lit(None).cast("string").alias("error"))
+    signatures = _t(spark, d, "nation").select(F.concat(lit("orderedIn"), c("n_nationkey").cast("string")).alias("rel"), lit(2).alias("pos"), lit("Customer").alias("type"))
+    members = o.select(F.concat(lit("O"), "key").alias("inst"), F.concat(lit("Status"), "o_orderstatus").alias("type"))
+    status = o.select(F.concat(lit("Status"), "o_orderstatus").alias("child")).distinct()
+    up = status.select("child", lit("Order").alias("parent")).union(status.select("child", lit("Entity"))).union(spark.createDataFrame([("Order", "Entity"), ("Customer", "Entity")], "child string, parent string"))
+    return argument_types.inferred(kif.nodes(formulas), spark.createDataFrame([("priceOf",)], "rel string"), signatures, members, up)
+
+
+_TYPES = """WITH o AS (SELECT c_nationkey AS k, count(DISTINCT o_orderstatus) AS n, any_value('Status' || o_orderstatus) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+a AS (SELECT count(DISTINCT o_orderstatus) AS n, any_value('Status' || o_orderstatus) AS s FROM orders JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT 'orderedIn' || n_nationkey AS rel, 2 AS pos, 'Customer' AS type FROM nation
+UNION ALL SELECT 'orderedIn' || k, 1, CASE WHEN a.n > 1 THEN 'Order' ELSE a.s END FROM o, a UNION ALL SELECT 'believes' || k, 1, 'Customer' FROM o UNION ALL SELECT 'believes' || k, 2, '$o' FROM o
+UNION ALL SELECT 'paid' || k, 1, 'Customer' FROM o UNION ALL SELECT 'paid' || k, 2, 'Entity' FROM o UNION ALL SELECT 'paid' || k, 3, 'Number' FROM o UNION ALL SELECT 'priceOf', 1, CASE WHEN n > 1 THEN 'Order' ELSE s END FROM a)"""
+
+
+@query(_TYPES + " SELECT rel, pos::INT AS pos, type FROM t", facts=False)
+def inferred_types(spark, d):
+    """priceOf takes orders of all nations, so their types are one class."""
+    return _typed(spark, d)
+
+
+@query(_TYPES + " SELECT 'thf(' || rel || ',type,(' || rel || ': (' || string_agg(CASE WHEN type = '$o' THEN '$o' ELSE '$i' END, ' > ' ORDER BY pos) || ' > $o))).' AS value FROM t GROUP BY rel", facts=False)
+def type_declarations(spark, d):
+    return argument_types.declarations(_typed(spark, d).filter("pos > 0"))

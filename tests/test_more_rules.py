@@ -4,7 +4,7 @@ import itertools
 import random
 
 from factloom.functions import formula as fo
-from factloom.operators import consistency, hierarchies
+from factloom.operators import argument_types, consistency, hierarchies
 from factloom.operators import predicate_variables as pv
 from factloom.sources import kif, owl
 
@@ -140,3 +140,20 @@ def test_owl_reads_other_shapes(spark, tmp_path):
     assert rest == {("subclass", "Wine", "Drink"), ("subclass", "Wine", "Fluid"), ("documentation", "Wine", "a <b>"), ("instance", "hasMaker", "SingleValuedRelation"), ("domain1", "hasMaker", "Wine"),
                     ("domain2", "hasMaker", "_:A7"), ("instance", "year", "BinaryRelation"), ("instance", "Merlot", "Wine"), ("instance", "Merlot", "Red")}
     assert ("disjoint", "_:A7", "Wine") in got and {("subclass", "Wine", b) for b in blank} <= got
+
+
+def test_argument_types(spark):
+    texts = ["(=> (likes ?X ?Y) (knows ?X ?Y))", "(likes Rex ?Z)", "(thinks Ann (likes Ann Rex))", "(knows Ann (fatherOf ?B))", "(age ?A 7)", "(thinks ?X (and (p ?X) q))", "(forall (?W) (odd ?W (says ?W)))", "(odd Rex Rex)"]
+    table = spark.createDataFrame([(f"f{i}", t, None) for i, t in enumerate(texts)], "formula_id string, text string, error string")
+    up = [("Dog", "Animal"), ("Dog", "Entity"), ("Human", "Animal"), ("Human", "Entity"), ("Animal", "Entity"), ("Man", "Human"), ("Man", "Animal"), ("Man", "Entity")]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    args = (frame([("fatherOf",)], "rel string"), frame([("fatherOf", 0, "Man"), ("fatherOf", 1, "Human")], "rel string, pos int, type string"), frame([("Rex", "Dog"), ("Ann", "Human")], "inst string, type string"), frame(up, "child string, parent string"))
+    got = {(r["rel"], r["pos"]): r["type"] for r in argument_types.inferred(kif.nodes(table), *args).collect()}
+    #: Rex and Ann like, so what likes is an animal; knows shares both places, and what is known may be a man as well. Rex stands where a formula does.
+    assert got == {("likes", 1): "Entity", ("likes", 2): "Entity", ("knows", 1): "Entity", ("knows", 2): "Entity", ("thinks", 1): "Entity", ("thinks", 2): "$o", ("fatherOf", 0): "Entity", ("fatherOf", 1): "Human", ("age", 1): "Entity",
+                   ("age", 2): "Number", ("p", 1): "Entity", ("odd", 1): "Entity", ("odd", 2): "Entity", ("says", 1): "Entity"}
+    without = {(r["rel"], r["pos"]): r["type"] for r in argument_types.inferred(kif.nodes(table.filter("formula_id <> 'f7' AND formula_id <> 'f6'")), *args).collect()}
+    assert {k: without[k] for k in [("likes", 1), ("likes", 2), ("knows", 1), ("knows", 2), ("thinks", 1), ("thinks", 2), ("fatherOf", 0), ("fatherOf", 1), ("age", 1)]} == {
+        ("likes", 1): "Animal", ("likes", 2): "Animal", ("knows", 1): "Animal", ("knows", 2): "Animal", ("thinks", 1): "Animal", ("thinks", 2): "$o", ("fatherOf", 0): "Animal", ("fatherOf", 1): "Human", ("age", 1): "Entity"}
+    lines = {r["value"] for r in argument_types.declarations(frame([("likes", 1, "Dog"), ("likes", 2, "$o"), ("f o", 0, "Dog"), ("f o", 1, "Dog"), ("k", 0, "$o")], "rel string, pos int, type string")).collect()}
+    assert lines == {"thf(likes,type,(likes: ($i > $o > $o))).", "thf('f o',type,('f o': ($i > $i))).", "thf(k,type,(k: ($o)))."}
