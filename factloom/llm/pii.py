@@ -56,8 +56,9 @@ def _feistel(kind: str, key: str, left: str, right: str, a: str, b: str) -> str:
 
 def _luhn(d: str) -> str:
     """SQL for Luhn's sum of a digit string, the last digit counting once."""
-    at = f"cast(substr({d}, length({d}) - i + 1, 1) AS int)"
-    return f"aggregate(sequence(1, length({d})), 0, (s, i) -> s + CASE WHEN i % 2 = 1 THEN {at} ELSE 2 * {at} - IF({at} > 4, 9, 0) END)"
+    at = f"substr({d}, length({d}) - i + 1, 1)"
+    #: The digits in the order of what they count doubled, 0 to 9.
+    return f"aggregate(sequence(1, length({d})), 0, (s, i) -> s + IF(i % 2 = 1, ascii({at}) - 48, instr('0516273849', {at}) - 1))"
 
 
 def _digits_back(m: str, d: str) -> str:
@@ -71,28 +72,31 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _cards(g: str) -> str:
-    """SQL for the cards [struct(i, k, d)] among groups g of digits: k groups from the i-th, digits d. They don't overlap; the longest goes first, then the first."""
-    runs = f"transform(sequence(1, least(19, size({g}) - i + 1)), k -> named_struct('i', i, 'k', k, 'd', array_join(slice({g}, i, k), '')))"
+    """SQL for the cards [struct(i, k, d)] among groups g of digits: k groups from the i-th, digits d. They don't overlap: from the left,
+    the longest that begins at a group is taken, and the next is looked for behind it. A group begins 19 runs at most, so the time grows with the groups."""
+    runs = f"transform(sequence(least(19, size({g}) - i + 1), 1, -1), k -> named_struct('i', i, 'k', k, 'd', array_join(slice({g}, i, k), '')))"
     valid = f"length(w.d) BETWEEN 13 AND 19 AND w.d rlike '[1-9]' AND {_luhn('w.d')} % 10 = 0"
-    runs = f"flatten(transform(sequence(1, size({g})), i -> filter({runs}, w -> {valid})))"
-    order = "(x, y) -> CASE WHEN length(x.d) <> length(y.d) THEN length(y.d) - length(x.d) ELSE x.i - y.i END"
-    return f"aggregate(array_sort({runs}, {order}), cast(array() AS array<struct<i: int, k: int, d: string>>), (a, w) -> IF(exists(a, o -> w.i < o.i + o.k AND o.i < w.i + w.k), a, array_append(a, w)))"
+    taken = _let(f"get(filter({runs}, w -> {valid}), 0)", "c", "IF(c IS NULL, s, named_struct('free', c.i + c.k, 'out', array_append(s.out, c)))")
+    return f"aggregate(sequence(1, size({g})), named_struct('free', 1, 'out', cast(array() AS array<struct<i: int, k: int, d: string>>)), (s, i) -> IF(i < s.free, s, {taken})).out"
 
 
 def _groups(m: str) -> str:
     return f"regexp_extract_all({m}, '[0-9]+', 0)"
 
 
-def _card(m: str, key: str) -> str:
+def _card(m: str, key: str, counted: bool = False) -> str:
     """Of each card the first digit and the length stay; the last digit is Luhn's again. Other groups of the run stay."""
     half = "cast((length(d) - 2) div 2 AS int)"
     made = _feistel("card", key, f"substr(d, 2, {half})", f"substr(d, 2 + {half}, length(d) - 2 - {half})", f"cast(pow(10, {half}) AS bigint)", f"cast(pow(10, length(d) - 2 - {half}) AS bigint)")
     body = f"concat(substr(d, 1, 1), lpad(cast(f.l AS string), {half}, '0'), lpad(cast(f.r AS string), length(d) - 2 - {half}, '0'))"
     whole = _let(body, "e", f"concat(e, cast(pmod(10 - {_luhn('concat(e, 0)')} % 10, 10) AS string))")
     new = f"transform(cs, o -> named_struct('i', o.i, 'k', o.k, 'e', {_let('o.d', 'd', _let(made, 'f', whole))}))"
-    group = "coalesce(try_element_at(transform(filter(ns, o -> q + 1 >= o.i AND q + 1 < o.i + o.k), o -> substr(o.e, 1 + length(array_join(slice(g, o.i, q + 1 - o.i), '')), length(x))), 1), x)"
-    joined = f"array_join(flatten(zip_with(transform(g, (x, q) -> {group}), regexp_extract_all({m}, '[ -]', 0), (x, y) -> array(x, coalesce(y, '')))), '')"
-    return _let(_groups(m), "g", _let(_cards("g"), "cs", f"IF(size(cs) = 0, {m}, {_let(new, 'ns', joined)})"))
+    renewed = "transform(sequence(0, o.k - 1), q -> substr(o.e, 1 + length(array_join(slice(g, o.i, q), '')), length(g[o.i - 1 + q])))"
+    pieces = f"transform(ns, (o, j) -> concat({_let('IF(j = 0, 1, get(ns, j - 1).i + get(ns, j - 1).k)', 'b', 'slice(g, b, o.i - b)')}, {renewed}))"
+    groups = f"concat(flatten({pieces}), slice(g, ns[size(ns) - 1].i + ns[size(ns) - 1].k, size(g)))"
+    joined = f"array_join(flatten(zip_with({groups}, regexp_extract_all({m}, '[ -]', 0), (x, y) -> array(x, coalesce(y, '')))), '')"
+    made = f"IF(size(cs) = 0, {m}, {_let(new, 'ns', joined)})"
+    return _let(_groups(m), "g", _let(_cards("g"), "cs", f"named_struct('p', {made}, 'n', size(cs))" if counted else made))
 
 
 def _phone(m: str, key: str) -> str:
@@ -173,6 +177,11 @@ def pseudonym(match: str, key: str) -> str:
     return f"CASE {cases} ELSE {match} END"
 
 
+def counted(match: str, key: str) -> str:
+    """SQL for struct(p, n): a found value's pseudonym, and how many values that replaces."""
+    return f"IF({kind(match, 'card')}, {_card(match, key, True)}, {_let(pseudonym(match, key), 'z', f'named_struct(\'p\', z, \'n\', IF(z = {match}, 0, 1))')})"
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text's personal values replaced, and n_found (long: values replaced).
 
@@ -182,11 +191,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     some = text.rlike("[0-9]{3}|@|[0-9][ ./-][0-9]|[+][1-9]")
     found = docs.withColumn("__m", F.when(some, F.expr(f"regexp_extract_all(text, {_quoted(_ANY)}, 0)")).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("__p", F.expr(f"transform(__m, m -> {pseudonym('m', key)})"))
+    found = found.withColumn("__p", F.expr(f"transform(__m, m -> {counted('m', key)})"))
     parts: Column = F.expr(f"split(text, {_quoted(_ANY)}, -1)")
-    joined = F.concat_ws("", F.flatten(F.zip_with(parts, F.concat(F.col("__p"), F.array(F.lit(""))), lambda a, b: F.array(a, b))))
+    joined = F.concat_ws("", F.flatten(F.zip_with(parts, F.concat(F.col("__p.p"), F.array(F.lit(""))), lambda a, b: F.array(a, b))))
     out = found.withColumn("text", F.when(F.size("__m") > 0, joined).otherwise(text))
-    out = out.withColumn("n_found", F.coalesce(F.expr(f"aggregate(zip_with(__m, __p, (a, b) -> CASE WHEN a = b THEN 0 WHEN {kind('a', 'card')} THEN {_let(_groups('a'), 'g', 'size(' + _cards('g') + ')')} ELSE 1 END), 0, (n, x) -> n + x)"), F.lit(0)).cast("long"))
+    out = out.withColumn("n_found", F.coalesce(F.expr("aggregate(__p.n, 0, (n, x) -> n + x)"), F.lit(0)).cast("long"))
     return out.drop("__m", "__p").select(*docs.drop("n_found").columns, "n_found")
 
 
@@ -194,5 +203,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymise(docs, spark.conf.get("spark.factloom.pii.key", TEST_KEY)).select(*docs.columns)
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, key: str | None = None) -> DataFrame:
+    """docs under the given key, or the one in spark.factloom.pii.key; without either nothing is written, as anyone could undo a published key."""
+    if not (key := key or spark.conf.get("spark.factloom.pii.key", None)):
+        raise ValueError("set spark.factloom.pii.key to a secret of your own")
+    return pseudonymise(docs, key).select(*docs.columns)
