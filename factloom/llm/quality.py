@@ -89,6 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     idx = got["idx"].combine_chunks().flatten().to_numpy()
     val = got["val"].combine_chunks().flatten().to_numpy()
     del got
+    W.release()
     bounds = np.append(0, np.cumsum(lens))
     #: Runs of rows that are worked on together, so that the driver holds the sparse rows and little else.
     parts = [(a, min(a + _TOGETHER, len(y))) for a in range(0, len(y), _TOGETHER)]
@@ -112,6 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     z = np.concatenate([b + 50 * inner(w, i, j) for i, j in parts])
     z1, y1 = (z[fold], y[fold]) if len(set(y[fold])) == 2 else (z, y)
     a, c = _platt(z1, y1)
+    del idx, val, z
+    W.release()  # the driver lives on
     return model | {"w": (50 * w).astype(np.float32), "b": float(b), "scale": float(a), "shift": float(c)}
 
 
