@@ -3,7 +3,7 @@
 A rolling hash over the last SPAN bytes cuts every text where its low bits are nil, so that equal passages fall into
 equal chunks whatever stands before them. Chunks that documents share are encoded once: the SHARED most frequent ones
 over all documents by one task each, their codes are broadcast (SHARED bounds them), and the others once a task, in a
-dictionary that is emptied at CACHE_BYTES; so is that of pieces at PIECE_BYTES. A cut may fall within a word. So each join is repaired: the pieces on both
+dictionary that is emptied at CACHE_BYTES; so is that of pieces at PIECE_BYTES (`cached`). A cut may fall within a word. So each join is repaired: the pieces on both
 sides are glued and encoded anew with a neighbour on either side; where the neighbours' codes don't agree with those that
 the chunks hold, the whole text is encoded instead. A chunk's inside is put together from its pieces' codes.
 
@@ -32,6 +32,8 @@ CHUNK_BITS = 11
 SHARED = 4096
 CACHE_BYTES = 24 << 20
 PIECE_BYTES = 72 << 20
+#: The pipeline's stage, whose workers share an executor with what other stages have left, keeps less of both, for some more time.
+STAGE_BYTES = (6 << 20, 16 << 20)
 _TOGETHER, _SLICE = 4096, 1 << 20
 _PLAIN = 512
 #: ASCII signs but the apostrophe, which contractions have.
@@ -91,16 +93,19 @@ class Coder:
     """Codes of pieces, chunks and texts. A code is the ids as little-endian 32-bit numbers; what they decode to is put together
     from the vocabulary where a text is whole."""
 
-    def __init__(self, path: str, shared: dict[bytes, tuple]) -> None:
+    def __init__(self, path: str, shared: dict[bytes, tuple], most: tuple[int, int] = (CACHE_BYTES, PIECE_BYTES)) -> None:
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spelled = [b""] * (max(self.tokenizer.get_vocab().values(), default=-1) + 1)
-        for token, i in self.tokenizer.get_vocab().items():
+        vocabulary_ = self.tokenizer.get_vocab()
+        self.spelled = [b""] * (max(vocabulary_.values(), default=-1) + 1)
+        for token, i in vocabulary_.items():
             self.spelled[i] = token.encode()
+        del vocabulary_
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Tokens that end a word, where the vocabulary marks them and letters are words apart from signs.
         self.ends = np.array([t.endswith(suffix.encode()) for t in self.spelled]) if suffix else None
@@ -131,7 +136,7 @@ class Coder:
 
     def learn(self, pieces: set[bytes]) -> None:
         if new := [p for p in pieces if p not in self.pieces]:
-            if self.piece_bytes > PIECE_BYTES:
+            if self.piece_bytes > self.most[1]:
                 self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces} | {b"": b""}
                 self.piece_bytes = sum(200 + len(p) + len(c) for p, c in self.pieces.items())
             kinds: tuple[list[bytes], ...] = ([], [], [])
@@ -168,7 +173,7 @@ class Coder:
         keys = [[digest(c) if len(c) > SPAN else c for c in t] for t in texts]
         split = {k: c.replace(b"\n", b" ").split(b" ") for t, ks in zip(texts, keys, strict=True) for c, k in zip(t, ks, strict=True) if k not in self.shared and k not in self.own}
         self.learn({p for ps in split.values() for p in ps[1:-1]})
-        if self.own_bytes > CACHE_BYTES:
+        if self.own_bytes > self.most[0]:
             self.own, self.own_bytes = {k: self.own[k] for ks in keys for k in ks if k in self.own}, 0
         for k, ps in split.items():
             self.own[k] = got = self.chunk(ps)
@@ -248,7 +253,7 @@ def shared_codes(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
     return out
 
 
-def encode(docs: DataFrame, path: str | None = None, digests: bool = False, most: int = SHARED) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, digests: bool = False, most: int = SHARED, cached: tuple[int, int] = (CACHE_BYTES, PIECE_BYTES)) -> DataFrame:
     """docs' columns and n_tokens (long) with ids (array<int>) and decoded (string); or, with digests, ids_sha256 and
     decoded_sha256. A null text counts as empty and has no tokens. Columns of these names are replaced. A very long text
     is one task's work at a time. Of chunks that are as frequent the first by digest are shared, which no result depends
@@ -260,7 +265,7 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, most
     shared = docs.sparkSession.sparkContext.broadcast(shared_codes(docs, path, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, codes, n, rest = Coder(path, shared.value), None, None, None
+        coder, codes, n, rest = Coder(path, shared.value, cached), None, None, None
         for batch in batches:
             for r0, r1, buf, offs in W.slices(batch.column("text"), _SLICE):
                 codes = coder.codes(list(chunks(buf, offs)))
@@ -286,4 +291,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs).drop("decoded")
+    return encode(docs, cached=STAGE_BYTES).drop("decoded")
